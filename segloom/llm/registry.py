@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segloom.llm import runs, turns
+from segloom.llm import lookalike, repetition, runs, splitting, truncation, turns
 from segloom.operators.segments import usable
 from segloom.plans.intervals import USABLE_SQL
 from segloom.runtime import load
@@ -43,7 +43,66 @@ def p4_events(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Oversized timelines and contents with the coarsest boundary that suffices."""
+    pieces = splitting.split_timelines(load(spark, d, "timelines"), texts=False)
+    return pieces.where("piece = 0").select("timeline_id", "seg_pos", "boundary")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces of oversized items."""
+    return splitting.split_timelines(load(spark, d, "timelines"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Contents that mostly repeat themselves."""
+    return repetition.repetitive(load(spark, d, "segments")).select("seg_id")
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of repeated words of every content, with the decision under certified cutoffs."""
+    rows = load(spark, d, "segments")
+    cutoffs = repetition.choose_cutoffs(repetition.holdout(rows))
+    return repetition.measured(rows, {k: v[0] for k, v in cutoffs.items()})
+
+
+def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """Certified cutoff of each stratum with its bound."""
+    found = repetition.choose_cutoffs(repetition.holdout(load(spark, d, "segments")))
+    rows = [(k, float(v[0]), float(v[1]), int(v[2])) for k, v in found.items()]
+    return spark.createDataFrame(rows, "stratum string, cutoff double, bound double, clean_texts bigint")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Contents that lost their end."""
+    return truncation.truncated(load(spark, d, "segments")).select("seg_id")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of damage per producer."""
+    return truncation.truncation_rates(load(spark, d, "segments"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents that look alike."""
+    return lookalike.alike_pairs(load(spark, d, "documents"))
+
+
+def p9_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in its one form."""
+    return lookalike.normalised(load(spark, d, "documents")).select("doc_id", "normal_text")
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_shares": p3_shares,
+    "p3_cutoffs": p3_cutoffs,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
+    "p9_found": p9_found,
+    "p9_texts": p9_texts,
     "p1_found": p1_found,
     "p1_turns": p1_turns,
     "p4_found": p4_found,
