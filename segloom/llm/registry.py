@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segloom.llm import lookalike, repetition, runs, splitting, truncation, turns
+from segloom.llm import encoding, lookalike, packing, repetition, runs, splitting, truncation, turns
 from segloom.operators.segments import usable
 from segloom.plans.intervals import USABLE_SQL
 from segloom.runtime import load
@@ -93,7 +94,26 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalised(load(spark, d, "documents")).select("doc_id", "normal_text")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document."""
+    return encoding.encode_documents(load(spark, d, "documents"))
+
+
+def p8_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every document."""
+    ids = encoding.encode_documents(load(spark, d, "documents"))
+    return packing.pack_items(ids.select("doc_id", F.size("ids").alias("size")))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p8_bins(spark, d))
+
+
 QUERIES = {
+    "p7_ids": p7_ids,
+    "p8_bins": p8_bins,
+    "p8_fill": p8_fill,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
