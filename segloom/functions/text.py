@@ -29,7 +29,7 @@ def byte_prefix(c: Column, n: int) -> Column:
     tries = [
         F.try_validate_utf8(F.substring(raw, 1, k).cast("string")) for k in range(n, max(n - 4, 0), -1)
     ]
-    return F.coalesce(*tries, F.lit(""))
+    return F.when(c.isNotNull(), F.coalesce(*tries, F.lit("")))
 
 
 def ellipsize_bytes(c: Column, limit: int, keep: int) -> Column:

@@ -40,3 +40,22 @@ def positions(df: DataFrame, entity: Sequence[str], order: Sequence[Column], buc
         .withColumn(name, F.col("__before") + F.col("__r"))
         .drop("__bucket", "__before", "__r")
     )
+
+
+def lagged(df: DataFrame, entity: Sequence[str], order: Sequence[str], bucket: Column, column: str, name: str) -> DataFrame:
+    """Value of ``column`` in the row before, by ``order`` within the entity, computed in buckets.
+
+    ``bucket`` must be monotone in the first order key, and ``column`` without nulls. Buckets hand on their last value
+    through one summary row each.
+    """
+    keyed = df.withColumn("__bucket", bucket)
+    inner = Window.partitionBy(*entity, "__bucket").orderBy(*order)
+    ends = keyed.groupBy(*entity, "__bucket").agg(F.max_by(column, F.struct(*order)).alias("__last"))
+    earlier = Window.partitionBy(*entity).orderBy("__bucket")
+    handed = ends.select(*entity, "__bucket", F.lag("__last").over(earlier).alias("__handed"))
+    return (
+        keyed.withColumn("__lag", F.lag(column).over(inner))
+        .join(handed, [*entity, "__bucket"])
+        .withColumn(name, F.coalesce("__lag", "__handed"))
+        .drop("__bucket", "__lag", "__handed")
+    )

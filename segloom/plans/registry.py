@@ -5,15 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segloom.plans import intervals
-
-MODULES = (intervals,)
+from segloom.operators import segments as seg_ops
+from segloom.plans import intervals, timeline, timeline_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return dict(timeline.QUERIES) | dict(intervals.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+    return dict(timeline_sql.ORACLE) | dict(intervals.ORACLE)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Merged timelines with each chunk's transcript and the context carried from the chunk before."""
+    rows = timeline.segments(spark, d)
+    keys = ["job_id", "chunk_index"]
+    said = seg_ops.transcripts(rows, keys)
+    carried = seg_ops.previous_contexts(seg_ops.contexts(rows, keys)).select(*keys, "previous_context")
+    merged = seg_ops.merge_timeline(rows)
+    return (
+        merged.join(said, keys, "left")
+        .join(carried, keys, "left")
+        .select("job_id", "position", "seg_id", "chunk_index", "type", F.col("start_time"), "content", "transcript", "previous_context")
+    )
