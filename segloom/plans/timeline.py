@@ -123,7 +123,7 @@ def response_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"))
+    return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
 def pack_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,7 @@ def cache_list(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(
         "hash",
         T.ellipsize_bytes(F.col("title"), 48, 45).alias("title"),
-        F.format_string("%.1f", F.col("duration_seconds") / 60).alias("minutes"),
+        F.when(F.col("duration_seconds").isNotNull(), F.format_string("%.1f", F.col("duration_seconds") / 60)).alias("minutes"),
         "segment_count",
         T.byte_prefix(F.col("processed_at"), 10).alias("date"),
     )

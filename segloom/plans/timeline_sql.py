@@ -139,7 +139,7 @@ ORACLE = {
       select doc_id, case when t is not null and not {blank('t')} then {utrim('t')} end as content,
         case when t is null then 'vision model error: response has no message content' when {blank('t')} then 'vision model error: empty response' end as error from t""",
     "response_texts": "select event_id, event_type || chr(10) || chr(10) || user_id as text from events",
-    "event_properties": "select event_id, json_extract_string(props, '$.page') as page from events",
+    "event_properties": "select event_id, json_extract_string(props, '$.k') as k from events",
     "pack_sections": packed(25_000) + " select timeline_id, cast(i - 1 as integer) as position, tokens, section from pack",
     "pack_sections_small": packed(2_500) + " select timeline_id, cast(i - 1 as integer) as position, tokens, section from pack",
     "stitched_sections": packed(2_500)
