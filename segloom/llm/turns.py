@@ -254,8 +254,10 @@ def _scan(people: dict[int, list] | None, max_pause_ms: int | None):
                             said = without_overlap(turn[5][-1], said)
                         turn[5].append(said)
                     else:
-                        close(False)
-                        turn = [speaker, seg, seg, s, e, [said], fresh]
+                        # Words before the slice's first label may belong to whoever the label names.
+                        unnamed = turn is not None and turn[0] is None and turn[6]
+                        close(unnamed)
+                        turn = [speaker, seg, seg, s, e, [said], fresh or unnamed]
                         fresh = False
             if len(out) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TURN.types, strict=True)], schema=TURN)
