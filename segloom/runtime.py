@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,23 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that their workers can import it from anywhere.
+
+    The archive is served by the driver; nothing is read from the folder it is made in but by the driver itself.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_segloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="segloom-"), "segloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._segloom_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 

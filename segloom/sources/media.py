@@ -65,7 +65,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 errors.append(None)
             except (MediaError, wave.Error, EOFError) as e:
                 samples.append(None)
-                errors.append(str(e))
+                errors.append(str(e) or "ffmpeg error: not a wav file")
         yield pa.RecordBatch.from_arrays(
             [batch.column("path"), pa.array(samples, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["path", "samples", "error"]
         )
