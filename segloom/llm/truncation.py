@@ -9,12 +9,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from segloom.llm.turns import ANNOTATION, HESITATION, STAMP
 from segloom.runtime import broadcast_if_small, cut
 
-#: A word is known from so many occurrences that no cut can have shortened.
+#: A word is known from so many occurrences that no cut can have shortened, and at least this share of all; the
+#: share keeps slips of the pen, whose number grows with the corpus, from passing for words.
 KNOWN_COUNT = 3
+KNOWN_SHARE = 2e-6
 #: Share of punctuated ends from which a producer's rows of one type count as punctuated prose.
 PUNCTUATED = 0.5
 #: A length is a field limit if so many times as many rows have it as the ten lengths below have each.
@@ -104,7 +107,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).to_pylist() for c in ("seg_id", "segment_type", "producer", "content")]
         for seg, kind, producer, text in zip(*columns, strict=True):
             how, last = ending(text)
-            tokens = TOKEN.findall(text.lower())
+            tokens = TOKEN.findall((BROKEN.sub("", text.rstrip()) if how == "broken" else text).lower())
             if last and how != "closed" and tokens:
                 tokens.pop()
             words.update(tokens)
@@ -122,33 +125,37 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _limits(events: DataFrame) -> DataFrame:
-    """Field limits: lengths, in code points or bytes, at which a producer's rows pile up and above which next to none lie."""
+    """Field limits: lengths, in code points or bytes, at which a producer's rows pile up and above which next to none lie.
+
+    Two rows a producer at most; the windows run over distinct lengths, not rows.
+    """
     out = None
     for unit in ("chars", "bytes"):
         counts = events.where((F.col("kind") == "length") & (F.col(unit) >= 0)).groupBy("producer", unit).agg(F.sum("n").alias("n"))
-        other = counts.select(F.col("producer").alias("p"), F.col(unit).alias("below"), F.col("n").alias("m"))
-        near = (
-            counts.where("n >= 5")
-            .join(other, F.col("producer").eqNullSafe(F.col("p")) & (F.col("below") >= F.col(unit) - 10))
-            .groupBy("producer", unit, "n")
-            .agg(
-                F.coalesce(F.sum(F.when(F.col("below").between(F.col(unit) - 10, F.col(unit) - 5), F.col("m"))), F.lit(0)).alias("under"),
-                F.coalesce(F.sum(F.when(F.col("below") > F.col(unit), F.col("m"))), F.lit(0)).alias("above"),
-            )
-            .where((F.col("n") >= PILE * F.col("under") / 6) & (F.col("above") <= 0.05 * F.col("n")))
+        w = Window.partitionBy("producer").orderBy(unit)
+        under = F.coalesce(F.sum("n").over(w.rangeBetween(-10, -5)), F.lit(0))
+        above = F.coalesce(F.sum("n").over(w.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
+        piles = (
+            counts.withColumn("under", under)
+            .withColumn("above", above)
+            .where((F.col("n") >= 5) & (F.col("n") >= PILE * F.col("under") / 6) & (F.col("above") <= 0.05 * F.col("n")))
             .groupBy("producer")
             .agg(F.max(unit).alias("length_limit"))
             .select("producer", F.lit(unit).alias("unit"), "length_limit")
         )
-        out = near if out is None else out.unionByName(near)
-    return out
+        out = piles if out is None else out.unionByName(piles)
+    return out.groupBy(F.col("producer").alias("lp")).agg(
+        F.max(F.when(F.col("unit") == "chars", F.col("length_limit"))).alias("char_limit"),
+        F.max(F.when(F.col("unit") == "bytes", F.col("length_limit"))).alias("byte_limit"),
+    )
 
 
 def _vocabulary(events: DataFrame) -> DataFrame:
     """Nodes of the corpus trie, one row each: the prefix, and whether a known word ends there or goes on below."""
-    known = (
-        events.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= KNOWN_COUNT) & (F.length("word") <= 64))
-    )
+    counted = events.where("kind = 'word'")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(KNOWN_COUNT, KNOWN_SHARE * total)
+    known = counted.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.length("word") <= 64))
     nodes = known.select(F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"), "word")
     return (
         nodes.select(F.expr("substring(word, 1, k)").alias("node"), (F.col("k") == F.length("word")).alias("ends"))
@@ -175,36 +182,29 @@ def truncated(df: DataFrame) -> DataFrame:
     )
     events = cut(rows.mapInArrow(_scan, EVENT_DDL))
     same = lambda c, d: F.col(c).eqNullSafe(F.col(d))
-    shape = (
+    # The tables below have a row for each producer, type or final word; each is made once.
+    closed = F.col("ending").isin("closed", "dash", "dots")
+    shape = cut(
         events.where("kind = 'style'")
         .groupBy(F.col("producer").alias("sp"), F.col("segment_type").alias("st"))
-        .agg(
-            (F.sum(F.when(F.col("ending").isin("closed", "dash", "dots"), F.col("n")).otherwise(0)) / F.sum("n")).alias("punctuated"),
-        )
+        .agg((F.sum(F.when(closed, F.col("n")).otherwise(0)) / F.sum("n")).alias("punctuated"))
     )
     # A row without a type may be of any of its producer's styles.
     every = shape.where("st is not null").groupBy(F.col("sp").alias("ep")).agg(F.min("punctuated").alias("least"), F.max("punctuated").alias("most"))
-    # Two rows a producer at most.
-    limits = (
-        _limits(events)
-        .groupBy(F.col("producer").alias("lp"))
-        .agg(
-            F.max(F.when(F.col("unit") == "chars", F.col("length_limit"))).alias("char_limit"),
-            F.max(F.when(F.col("unit") == "bytes", F.col("length_limit"))).alias("byte_limit"),
-        )
-    )
+    limits = cut(_limits(events))
     found = events.where("kind = 'row'").select("seg_id", "producer", "segment_type", "word", "ending", "chars", "bytes")
     tokens = found.where("word <> ''").select(F.col("word").alias("node")).distinct()
-    verdicts = tokens.join(_vocabulary(events), "node", "left").select(
-        F.col("node").alias("token"),
-        F.coalesce("is_word", F.lit(False)).alias("known"),
-        (F.coalesce("goes_on", F.lit(False)) & ~F.coalesce("is_word", F.lit(False))).alias("cut_word"),
+    verdicts = cut(
+        tokens.join(_vocabulary(events), "node", "left").select(
+            F.col("node").alias("token"),
+            (F.coalesce("goes_on", F.lit(False)) & ~F.coalesce("is_word", F.lit(False))).alias("cut_word"),
+        )
     )
     at_limit = F.coalesce(F.col("chars").between(F.col("char_limit") - SLACK, F.col("char_limit")), F.lit(False)) | F.coalesce(
         F.col("bytes").between(F.col("byte_limit") - SLACK, F.col("byte_limit")), F.lit(False)
     )
     # Dots mark a cut only where the producer's rows at the limit mostly end in them.
-    dotted = (
+    dotted = cut(
         found.join(broadcast_if_small(limits, BROADCAST_WORDS), same("producer", "lp"))
         .where(at_limit)
         .groupBy(F.col("producer").alias("dp"))
