@@ -59,8 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``max_rows`` rows, else ``df`` as it is.
 
-    The count stops after ``max_rows + 1`` rows per partition, so the check is cheap on any size;
-    beyond the bound the planner is left with its shuffled joins and AQE's skew handling.
+    The rows are counted, which moves one number a task; beyond the bound the planner is left with its shuffled joins
+    and AQE's skew handling.
     """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
