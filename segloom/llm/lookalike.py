@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segloom.runtime import cut
+
 #: Letters of other scripts that look like a Latin letter, in both cases.
 CYRILLIC = dict(zip("аеіјорсухѕԁԛԝһӏАВЕЅІЈКМНОРСТХУҮԌԚԜ", "aeijopcyxsdqwhlABESIJKMHOPCTXYYGQW", strict=True))
 GREEK = dict(zip("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovcjABEZHIKMNOPTYXCJ", strict=True))
@@ -129,17 +131,17 @@ def normalised(df: DataFrame) -> DataFrame:
 def alike_pairs(df: DataFrame) -> DataFrame:
     """Pairs doc_id_a < doc_id_b whose texts look alike but are not the same string.
 
-    Texts meet by a hash of their common form and of themselves; only forms with more than one spelling are joined, so
+    Texts meet by a 128-bit hash of their common form and of themselves; only forms with more than one spelling are joined, so
     groups of exact copies cost one pre-aggregated row each. Null and empty texts are no case.
     """
-    keyed = (
+    digest = lambda c: F.unhex(F.md5(c))
+    keyed = cut(
         normalised(df.where("text is not null and text <> ''"))
         .where("normal_text <> ''")
-        .select("doc_id", F.sha2("normal_text", 256).alias("form"), F.sha2("text", 256).alias("spelling"))
-        .distinct()
+        .select("doc_id", digest("normal_text").alias("form"), digest("text").alias("spelling"))
     )
     several = keyed.groupBy("form").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("form")
-    open_forms = keyed.join(several, "form", "left_semi")
+    open_forms = keyed.join(several, "form", "left_semi").distinct()
     a = open_forms.select("form", F.col("doc_id").alias("doc_id_a"), F.col("spelling").alias("spelling_a"))
     b = open_forms.select("form", F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("spelling_b"))
     joined = a.join(b, "form").where("doc_id_a < doc_id_b and spelling_a <> spelling_b")
