@@ -24,6 +24,16 @@ def slices(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which a null key meets a null key; keeps the left keys."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    condition = on[0]
+    for part in on[1:]:
+        condition &= part
+    return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def positions(df: DataFrame, entity: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "position") -> DataFrame:
     """Zero-based rank of each row in its entity, by ``order``, computed in buckets.
 
@@ -36,7 +46,7 @@ def positions(df: DataFrame, entity: Sequence[str], order: Sequence[Column], buc
     offsets = counts.select(*entity, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     ranked = keyed.withColumn("__r", F.row_number().over(inner).cast("bigint") - 1)
     return (
-        ranked.join(offsets, [*entity, "__bucket"])
+        null_safe_join(ranked, offsets, [*entity, "__bucket"])
         .withColumn(name, F.col("__before") + F.col("__r"))
         .drop("__bucket", "__before", "__r")
     )
@@ -53,9 +63,9 @@ def lagged(df: DataFrame, entity: Sequence[str], order: Sequence[str], bucket: C
     ends = keyed.groupBy(*entity, "__bucket").agg(F.max_by(column, F.struct(*order)).alias("__last"))
     earlier = Window.partitionBy(*entity).orderBy("__bucket")
     handed = ends.select(*entity, "__bucket", F.lag("__last").over(earlier).alias("__handed"))
+    inside = keyed.withColumn("__lag", F.lag(column).over(inner))
     return (
-        keyed.withColumn("__lag", F.lag(column).over(inner))
-        .join(handed, [*entity, "__bucket"])
+        null_safe_join(inside, handed, [*entity, "__bucket"])
         .withColumn(name, F.coalesce("__lag", "__handed"))
         .drop("__bucket", "__lag", "__handed")
     )

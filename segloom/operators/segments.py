@@ -57,6 +57,32 @@ def classify(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def chunk_texts(df: DataFrame, by: list[str], rows: int = CONTEXT_ROWS, limit: int = CONTEXT_BYTES) -> DataFrame:
+    """transcript and context of each group, in one aggregate and, if ``df`` is partitioned by the group, one pass.
+
+    The transcript is the spoken words in order, joined by one blank, null where nothing is spoken. The context, for
+    the next group's prompt, holds the last ``rows`` spoken rows and the last visual row, which may be blank and is
+    cut at ``limit`` bytes on a character boundary; no part gives ``''``.
+    """
+    w = Window.partitionBy(*by, F.col("__spoken")).orderBy(F.col("ord").desc())
+    ranked = (
+        df.withColumn("__spoken", F.coalesce((F.col("type") == "speech") & ~is_blank(F.col("content")), F.lit(False)))
+        .withColumn("__said", F.when(F.col("__spoken"), F.col("content")))
+        .withColumn("__late", F.when(F.row_number().over(w) <= rows, F.col("__said")))
+    )
+    visual = F.col("type") == "visual"
+    grouped = ranked.groupBy(*by).agg(
+        F.expr("listagg(__said, ' ') within group (order by ord)").alias("transcript"),
+        F.expr("listagg(__late, ' ') within group (order by ord)").alias("__late"),
+        F.max_by(F.when(visual, F.col("content")), F.when(visual, F.col("ord"))).alias("__seen"),
+    )
+    parts = (
+        F.concat(F.lit("Recent dialogue: "), F.col("__late")),
+        F.concat(F.lit("Last visual: "), ellipsize_bytes(F.col("__seen"), limit, limit)),
+    )
+    return grouped.select(*by, "transcript", F.concat_ws(" ", *parts).alias("context"))
+
+
 def transcripts(df: DataFrame, by: list[str]) -> DataFrame:
     """Spoken words of each group in order, joined by one blank; null where nothing is spoken."""
     spoken = (F.col("type") == "speech") & ~is_blank(F.col("content"))
@@ -68,28 +94,8 @@ def transcripts(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def contexts(df: DataFrame, by: list[str], rows: int = CONTEXT_ROWS, limit: int = CONTEXT_BYTES) -> DataFrame:
-    """Context of a group for the next one's prompt: its last ``rows`` spoken rows and its last visual row.
-
-    The visual row may be blank and is cut at ``limit`` bytes, on a character boundary. No part gives ``''``.
-    """
-    w = Window.partitionBy(*by, F.col("__spoken")).orderBy(F.col("ord").desc())
-    ranked = df.withColumn("__spoken", (F.col("type") == "speech") & ~is_blank(F.col("content"))).withColumn(
-        "__r", F.row_number().over(w)
-    )
-    last = F.max_by(F.when(F.col("type") == "visual", F.col("content")), F.when(F.col("type") == "visual", F.col("ord")))
-    grouped = ranked.where((F.col("__spoken") & (F.col("__r") <= rows)) | (F.col("type") == "visual")).groupBy(*by).agg(
-        F.expr("listagg(content, ' ') within group (order by ord) filter (where __spoken)").alias("__said"),
-        last.alias("__seen"),
-    )
-    every = df.select(*by).distinct()
-    return every.join(grouped, by, "left").select(
-        *by,
-        F.concat_ws(
-            " ",
-            F.concat(F.lit("Recent dialogue: "), F.col("__said")),
-            F.concat(F.lit("Last visual: "), ellipsize_bytes(F.col("__seen"), limit, limit)),
-        ).alias("context"),
-    )
+    """Context of each group for the next one's prompt, see :func:`chunk_texts`."""
+    return chunk_texts(df, by, rows, limit).drop("transcript")
 
 
 def previous_contexts(df: DataFrame, job: str = "job_id", index: str = "chunk_index") -> DataFrame:

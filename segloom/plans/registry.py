@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from segloom.operators import segments as seg_ops
+from segloom.operators.ordered import null_safe_join
 from segloom.plans import intervals, timeline, timeline_sql
 
 
@@ -23,11 +23,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Merged timelines with each chunk's transcript and the context carried from the chunk before."""
     rows = timeline.segments(spark, d)
     keys = ["job_id", "chunk_index"]
-    said = seg_ops.transcripts(rows, keys)
-    carried = seg_ops.previous_contexts(seg_ops.contexts(rows, keys)).select(*keys, "previous_context")
-    merged = seg_ops.merge_timeline(rows)
-    return (
-        merged.join(said, keys, "left")
-        .join(carried, keys, "left")
-        .select("job_id", "position", "seg_id", "chunk_index", "type", F.col("start_time"), "content", "transcript", "previous_context")
-    )
+    texts = seg_ops.previous_contexts(seg_ops.chunk_texts(rows, keys)).select(*keys, "transcript", "previous_context")
+    merged = null_safe_join(seg_ops.merge_timeline(rows), texts, keys, "left")
+    return merged.select("job_id", "position", "seg_id", "chunk_index", "type", "start_time", "content", "transcript", "previous_context")

@@ -16,9 +16,13 @@ SEGMENT_COLUMNS = ["seg_id", "job_id", "chunk_index", "ord", "type", "start_time
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Each delivered segment once, with its type in plain spelling."""
+    """Each delivered segment once, with its type in plain spelling.
+
+    Repeats agree on every column kept, so they are found within their chunk; partitioned by chunk, the rows
+    need no further shuffle for whatever groups by chunk, and a very long job is spread over its chunks.
+    """
     rows = load(spark, d, "segments").withColumn("type", seg_ops.normal_type(F.col("segment_type")))
-    return rows.select(*SEGMENT_COLUMNS).dropDuplicates(["seg_id"])
+    return rows.select(*SEGMENT_COLUMNS).repartition("job_id", "chunk_index").distinct()
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -70,12 +74,9 @@ def prev_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vision_prompts(spark: SparkSession, d: str) -> DataFrame:
-    rows = segments(spark, d)
-    said = seg_ops.transcripts(rows, ["job_id", "chunk_index"])
-    carried = seg_ops.previous_contexts(seg_ops.contexts(rows, ["job_id", "chunk_index"]))
-    joined = said.join(carried, ["job_id", "chunk_index"], "left")
+    texts = seg_ops.previous_contexts(seg_ops.chunk_texts(segments(spark, d), ["job_id", "chunk_index"]))
     prompt = prompts.vision_prompt(prompts.DEFAULT_VISION_PROMPT, F.col("transcript"), F.col("previous_context"))
-    return joined.select("job_id", "chunk_index", prompt.alias("prompt"))
+    return texts.select("job_id", "chunk_index", prompt.alias("prompt"))
 
 
 def merge_timeline(spark: SparkSession, d: str) -> DataFrame:
