@@ -301,12 +301,8 @@ def encode_documents(df: DataFrame, directory: str = TOKENIZER_DIR, name: str =
     empty = rows.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
     filled = rows.where("text <> ''")
     found = cut(filled.mapInArrow(_chunks, CHUNK_DDL))
-    encoded = (
-        found.where("text is not null")
-        .groupBy("chunk")
-        .agg(F.first("text").alias("text"))
-        .mapInArrow(_encode(directory, name), ENCODED_DDL)
-    )
+    texts = found.where("text is not null").select("chunk", "text").repartition("chunk").distinct()
+    encoded = texts.mapInArrow(_encode(directory, name), ENCODED_DDL)
     places = found.where("pos >= 0").select("doc", "pos", "chunk").distinct()
     parts = (
         places.join(encoded, "chunk")

@@ -104,7 +104,7 @@ def _scan(edits: int, max_gap_ms: int | None):
             columns = [batch.column(c).to_pylist() for c in ("job_id", "segment_type", "seg_id", "start_ms", "end_ms", "content")]
             for j, k, seg, s, e, text in zip(*columns, strict=True):
                 same_key = run is not None and j == job and k == kind
-                if same_key and seg == seen:
+                if same_key and seg == seen and seg is not None:
                     continue
                 if same_key and text == raw:
                     key = anchor
@@ -144,7 +144,8 @@ def collapse_runs(df: DataFrame, edits: int = EDITS, max_gap_ms: int | None = No
     fragments and are joined afterwards, so a job of any size spreads over as many tasks as its rows need.
     With ``max_gap_ms`` a start later than that after the run's latest end also ends a run.
 
-    Null and blank contents are passed over, repeated deliveries of a ``seg_id`` count once, texts without
+    Null and blank contents are passed over, repeated deliveries of a ``seg_id`` count once (null ids are
+    not repeats of each other), texts without
     any letter equal each other, equal times are ordered by chunk_index, ord, seg_id, a null job_id is a job
     like any other, texts of any length are compared whole, and an empty input gives no row.
     """

@@ -235,7 +235,7 @@ def _scan(people: dict[int, list] | None, max_pause_ms: int | None):
                     turn, job, seen = None, j, None
                     first_job, begun = not begun, True
                     fresh = first_job  # nothing of this job has been met in this slice
-                if seg == seen:
+                if seg == seen and seg is not None:
                     continue
                 seen = seg
                 if series not in rosters:
@@ -296,7 +296,8 @@ def speaker_turns(speech: DataFrame, speakers: DataFrame, max_pause_ms: int | No
     them, roles, automatic numbers, without accents and case, and with one slip of a letter if that
     leaves one person. Text before any label of a job, and jobs without known people, give no turn.
 
-    Null contents, rows without a spoken word and repeated deliveries change nothing; equal times are
+    Null contents, rows without a spoken word and repeated deliveries change nothing
+    (null ids are not repeats of each other); equal times are
     ordered by chunk_index, ord, seg_id; an empty input gives no row. Rolling captions that repeat the end of
     the row before are cut from ``text`` only.
 

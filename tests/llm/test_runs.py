@@ -79,6 +79,12 @@ def test_time_gap_and_interviews(spark):
     assert without_interview_speech(collapse_runs(df), jobs).count() == 0
 
 
+def test_null_ids_are_not_repeats(spark):
+    rows = [("j", "s", i, i + 1, None, None, None, "same") for i in range(3)]
+    (run,) = collapse_runs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert run.events == 3 and run.first_seg_id is None
+
+
 def test_empty_and_clashing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert collapse_runs(df).count() == 0
