@@ -27,14 +27,16 @@ def usable(df: DataFrame, *keep: str) -> DataFrame:
     Repeated deliveries are still there: they agree on all of these columns, so an operator that sorts by
     them meets repeats side by side and drops them without a shuffle of its own.
     """
-    out = df.where(F.col("segment_type").isNotNull() & F.col("start_time").isNotNull() & F.col("end_time").isNotNull()).select(
+    given = df.where(F.col("segment_type").isNotNull() & F.col("start_time").isNotNull() & F.col("end_time").isNotNull())
+    times = F.struct(parse_offset_ms(F.col("start_time")).alias("start_ms"), parse_offset_ms(F.col("end_time")).alias("end_ms"))
+    # Generated columns are not pushed into the filters below, which would parse each time anew.
+    out = given.select(
         "job_id",
         "chunk_index",
         "ord",
         "seg_id",
         normal_type(F.col("segment_type")).alias("segment_type"),
-        parse_offset_ms(F.col("start_time")).alias("start_ms"),
-        parse_offset_ms(F.col("end_time")).alias("end_ms"),
+        F.inline(F.array(times)),
         *keep,
     )
     return out.where(F.col("segment_type").isin(*TYPES) & (F.col("end_ms") >= F.col("start_ms")))
