@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import os
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -22,6 +24,17 @@ from segloom.operators.segments import collect_timelines, merge_timeline
 from segloom.sources import media, store
 
 CANCELLED = "cancelled by user"
+log = logging.getLogger("segloom")
+
+
+@contextmanager
+def stage(name: str, job: str) -> Iterator[None]:
+    """Logs how long a stage of a job took."""
+    began = time.monotonic()
+    try:
+        yield
+    finally:
+        log.info("%s: %s took %.1f s", job, name, time.monotonic() - began)
 
 
 def artifact_batches(artifacts: DataFrame, config: ServerConfig) -> DataFrame:
@@ -74,7 +87,8 @@ def process_video(
     )
     artifacts = artifacts.persist()  # the extraction has effects and must run once
     try:
-        bad = artifacts.where("error is not null").select("error").first()
+        with stage("extraction", job):
+            bad = artifacts.where("error is not null").select("error").first()
         if bad is not None:
             raise MediaError(bad.error)
         check()
@@ -87,7 +101,8 @@ def process_video(
         seen = models.describe(batches, speech, describer, template)
         check()
         after = F.lit(1 << 20)
-        new = speech.unionByName(seen.withColumn("ord", F.col("ord") + after)).collect()  # one recording's rows
+        with stage("speech and vision", job):
+            new = speech.unionByName(seen.withColumn("ord", F.col("ord") + after)).collect()  # one recording's rows
         check()
     finally:
         artifacts.unpersist()
@@ -106,7 +121,8 @@ def process_video(
         F.col("end").alias("end_time"),
         "content",
     )
-    merged = collect_timelines(merge_timeline(rows)).first()
+    with stage("merge", job):
+        merged = collect_timelines(merge_timeline(rows)).first()
     segments = [s.asDict() for s in merged.segments] if merged else []
     timeline = {"source": source_name or os.path.basename(path) or path, "duration_seconds": probed.duration_seconds, "segments": segments}
     if config.processing.cleanup_checkpoints:
@@ -284,6 +300,7 @@ class Engine:
         tools = tools if tools is not None else {
             "ffmpeg": lambda: media.tool_version([self.config.ffmpeg.path, "-version"]),
             "ffprobe": lambda: media.tool_version([self.config.ffmpeg.probe_path, "-version"]),
+            "ollama": lambda: models.model_server_version(self.config.ollama.endpoint, self.config.ollama.model),
             "ytdlp": lambda: media.tool_version([self.config.ytdlp.path, "--version"]),
         }
         found = {name: ask() for name, ask in tools.items()}

@@ -201,3 +201,16 @@ def frame_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         images = [encode_frames(p or []) for p in batch.column("paths").to_pylist()]
         at = batch.schema.get_field_index("paths")
         yield batch.remove_column(at).append_column("images", pa.array(images, pa.list_(pa.string())))
+
+
+def model_server_version(endpoint: str, model: str, get: Callable[[str], dict] | None = None) -> str | None:
+    """The configured model's name if the model server answers and has it, else None."""
+
+    def fetch(url: str) -> dict:
+        with urllib.request.urlopen(url, timeout=10) as answer:
+            return json.loads(answer.read())
+
+    try:
+        return model if model_installed((get or fetch)(endpoint.rstrip("/") + "/api/tags"), model) else None
+    except (urllib.error.URLError, TimeoutError, ValueError, KeyError):
+        return None

@@ -2,7 +2,6 @@ import json
 import os
 import sys
 import threading
-import time
 
 import pytest
 from pyspark import cloudpickle
@@ -216,4 +215,36 @@ def test_cli(spark, config, video, tmp_path, monkeypatch):
     args = cli.parser().parse_args(["format", store.cache_hash(os.path.realpath(video))])
     path = cli.run_format(args, ClientConfig(), home / "cache", "key", lambda *a: {"choices": [{"message": {"content": "MD"}}]})
     assert path.endswith("formatted.md") and open(path).read() == "MD"
-    time.sleep(0)
+
+
+def test_http(spark, config, video, caplog):
+    from segloom.server import Client, multipart, serve
+
+    e = Engine(spark, config, lambda *a, **k: timeline_of(k["source_name"]), download=lambda *a: (video, "T"))
+    server = serve(e, "127.0.0.1", 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    c = Client(f"http://127.0.0.1:{server.server_address[1]}")
+    try:
+        up, there, url = c.upload(video, force=True), c.submit(video), c.submit_url("https://x.invalid/v", max_fps=30)
+        for job, name in ((up, "clip.mp4"), (there, "clip.mp4"), (url, "T.mp4")):
+            assert c.wait(job["id"], 0.01, 20)["status"] == "completed"
+            assert c.result(job["id"]) == timeline_of(name)
+        assert c.health()["status"] == "degraded" and c.cancel_all() == 0
+        for call, status in ((lambda: c.status("x"), 400), (lambda: c.result("0" * 32), 404), (lambda: c.cancel(up["id"]), 409), (lambda: c.submit(""), 400),
+                             (lambda: c._call("GET", "/none"), 404), (lambda: c._call("POST", "/jobs", b"{"), 400), (lambda: c._call("POST", "/jobs/upload", b"x", "text/plain"), 400)):
+            with pytest.raises(ApiError) as err:
+                call()
+            assert err.value.status == status
+    finally:
+        server.shutdown()
+    form = multipart(b'--b\r\nContent-Disposition: form-data; name="file"; filename="a.mp4"\r\n\r\nx\r\ny\r\n--b--\r\n', "multipart/form-data; boundary=b")
+    assert form == {"file": ("a.mp4", b"x\r\ny")}
+    with pytest.raises(ClientError):
+        Client("http://127.0.0.1:9").health()
+
+
+def test_model_server():
+    tags = {"models": [{"name": "m:8b"}]}
+    assert models.model_server_version("http://h", "m", lambda url: tags) == "m"
+    assert models.model_server_version("http://h", "n", lambda url: tags) is None
+    assert models.model_server_version("http://127.0.0.1:9", "m") is None
