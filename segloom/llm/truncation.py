@@ -30,6 +30,7 @@ FLUSH = 200_000
 BROADCAST_WORDS = 500_000
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+ASCII_TOKEN = re.compile(r"[a-z]+(?:'[a-z]+)*")
 #: Damage that only a transfer leaves: a replacement character, or the start of an escape or entity.
 BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&(?:a(?:mp?)?|l(?:t)?|g(?:t)?|q(?:u(?:ot?)?)?|n(?:b(?:sp?)?)?|ap?o?s?|#x?[0-9a-fA-F]{0,5})|%[0-9A-F]?)\Z")
 TRAILER = re.compile(r"\s*(?:\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|\{[^{}]*\}|【[^【】]*】|♪[^♪]*♪|(?<!\*)\*[^*\n]+\*)\s*\Z")
@@ -55,6 +56,20 @@ EVENT = pa.schema(
 EVENT_DDL = "kind string, producer string, segment_type string, word string, ending string, seg_id bigint, chars bigint, bytes bigint, n bigint"
 
 
+TAIL = 40
+TRAILER_ENDS = frozenset("])>}】♪*")
+
+
+def stops(body: str) -> bool:
+    """True for the plain case: one mark that ends a sentence, and not a row of dots."""
+    return bool(body) and (body[-1] in "!?。！？" or (body[-1] == "." and body[-3:] != "..."))
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (ASCII_TOKEN if text.isascii() else TOKEN).findall(text)
+
+
 def ending(text: str) -> tuple[str, str]:
     """How a text ends, and its final word in lower case (empty if the end holds none).
 
@@ -63,18 +78,22 @@ def ending(text: str) -> tuple[str, str]:
     transfer damage; open: anything else.
     """
     body = text.rstrip()
-    if m := BROKEN.search(body):
-        tokens = TOKEN.findall(body[max(0, m.start() - 80) : m.start()])
+    if stops(body):
+        return "closed", ""
+    if m := BROKEN.search(body[-TAIL:]):
+        at = max(0, len(body) - TAIL) + m.start()
+        tokens = TOKEN.findall(body[max(0, at - 80) : at])
         return "broken", tokens[-1].lower() if tokens else ""
-    while (m := TRAILER.search(body)) and m.start() < len(body):
+    while body and body[-1] in TRAILER_ENDS and (m := TRAILER.search(body)) and m.start() < len(body):
         body = body[: m.start()].rstrip()
-    if not body:
+    if not body or stops(body):
         return "closed", ""
-    if m := DOTS.search(body):
-        kind, body = "dots", body[: m.start()]
-    elif CLOSED.search(body) or QUOTED.search(body):
+    tail = body[-TAIL:]
+    if m := DOTS.search(tail):
+        kind, body = "dots", body[: max(0, len(body) - TAIL) + m.start()]
+    elif CLOSED.search(tail) or QUOTED.search(tail):
         return "closed", ""
-    elif DASH.search(body):
+    elif DASH.search(tail):
         return "dash", ""
     else:
         kind = "open"
@@ -107,7 +126,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).to_pylist() for c in ("seg_id", "segment_type", "producer", "content")]
         for seg, kind, producer, text in zip(*columns, strict=True):
             how, last = ending(text)
-            tokens = TOKEN.findall((BROKEN.sub("", text.rstrip()) if how == "broken" else text).lower())
+            tokens = words_of(BROKEN.sub("", text.rstrip()) if how == "broken" else text)
             if last and how != "closed" and tokens:
                 tokens.pop()
             words.update(tokens)
