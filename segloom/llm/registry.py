@@ -157,7 +157,37 @@ _RUNS_SQL = (
 )
 """
 )
+#: Line ends parted by nothing but blanks; a sentence's end is marked first, as the engine has no look-behind.
+_BLANK_LINE = r"(\r\n|\r|\n)([ \t\f\v]*(\r\n|\r|\n))+"
+_FITS = r"len(list_filter({units}, lambda u: length(regexp_replace(u, '^\s+|\s+$', '', 'g')) > 1200)) = 0"
+_PIECES_SQL = rf"""with item as (
+  select timeline_id, unnest(segments) as s, generate_subscripts(segments, 1) - 1 as pos from timelines
+), long as (
+  select timeline_id, cast(pos as integer) as seg_pos, s.content as t from item where length(s.content) > 1200
+), parted as (
+  select *, string_split_regex(t, '{_BLANK_LINE}') as paragraphs from long
+), ended as (
+  select *, flatten(list_transform(paragraphs, lambda p: string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) as sentences,
+    string_split_regex(t, '\s+') as words from parted
+)
+select timeline_id, seg_pos, case when {_FITS.format(units='paragraphs')} then 'paragraph' when {_FITS.format(units='sentences')} then 'sentence'
+  when {_FITS.format(units='words')} then 'word' else 'none' end as boundary from ended
+union all
+select timeline_id, -1 as seg_pos, 'segment' as boundary from timelines
+where list_sum(list_transform(segments, lambda s: coalesce(length(s.content), 0))) > 25000"""
+_SHARE_SQL = r"""with w as (
+  select distinct seg_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from segments where content is not null
+), g as (
+  select seg_id, i, array_to_string(w[i:i + 4], ' ') as g from (select seg_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 6)
+), again as (
+  select seg_id, i from (select *, min(i) over (partition by seg_id, g) as first from g) where i > first
+), covered as (
+  select distinct seg_id, unnest(range(i, i + 5)) as p from again
+), n as (select seg_id, count(*) as n from covered group by seg_id)
+select seg_id from n join w using (seg_id) where n.n >= 0.4 * len(w.w)"""
 ORACLE: dict[str, str] = {
+    "p2_found": _PIECES_SQL,
+    "p3_found": _SHARE_SQL,
     "p4_found": _RUNS_SQL + "select job_id, segment_type, first_seg_id, last_seg_id from kept",
     "p4_events": _RUNS_SQL + "select *, end_ms - start_ms as duration_ms from kept",
 }
