@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segloom.functions.text import is_blank, strip_thinking, utrim
+from segloom.operators.ordered import null_safe_join
 
+#: Unicode White_Space, one by one.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 KEY_BYTES = 15
 HITS = 3
 
@@ -17,21 +20,35 @@ def guard_repetition(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Sentences are what full stops part, compared trimmed and in lower case; those under 15 bytes are kept and
     never counted. The rest from the third occurrence on is dropped, short sentences included, and the
-    result is trimmed; if nothing is left the text stays as it was. Null stays null.
+    result is trimmed; if nothing is left the text stays as it was. Null stays null; repeated rows stay, each by itself.
+
+    A text with fewer than two repeated sentences is settled within its row. Only the others, which are few unless
+    nearly all text is broken, are taken apart and shuffled.
     """
-    whole = df.select(key, F.col(text).alias("__text")).where("__text is not null")
-    sentence = whole.select(key, F.posexplode(F.split("__text", "[.]")).alias("__pos", "__s")).withColumn("__k", F.lower(utrim(F.col("__s"))))
-    long = sentence.where(F.octet_length("__k") >= KEY_BYTES)
-    # Only repeated sentences matter; the window holds the occurrences of one sentence of one text.
-    w = Window.partitionBy(key, F.xxhash64("__k"), "__k").orderBy("__pos")
-    hits = long.select(key, "__k", "__pos", F.row_number().over(w).alias("__r")).where(F.col("__r") == HITS)
-    cuts = hits.groupBy(key).agg(F.min("__pos").alias("__cut"))
-    joined = df.select(key, F.col(text).alias("__text")).join(cuts, key, "left")
+    rows = df.select(key, F.col(text).alias("__text"))
+    # Equal sentences stay equal without any white space, and lower case at most doubles their bytes: a cheap test that misses none.
+    bare = lambda s: F.translate(F.lower(s), SPACES, "")
+    long = F.transform(F.filter(F.split("__text", "[.]"), lambda s: F.octet_length(s) >= KEY_BYTES // 2), bare)
+    repeats = F.transform(F.array(long), lambda k: F.size(k) - F.size(F.array_distinct(k)))[0]
+    suspect = F.coalesce(repeats >= HITS - 1, F.lit(False))
+    whole = rows.where(~suspect)
+    broken = rows.where(suspect).withColumn("__mark", F.md5("__text"))
+    by = [key, "__mark"]
+    sentence = (
+        broken.dropDuplicates(by)
+        .select(*by, F.posexplode(F.split("__text", "[.]")).alias("__pos", "__s"))
+        .select(*by, "__pos", F.lower(utrim(F.col("__s"))).alias("__k"))
+    )
+    w = Window.partitionBy(*by, "__k").orderBy("__pos")
+    hits = sentence.where(F.octet_length("__k") >= KEY_BYTES).withColumn("__r", F.row_number().over(w)).where(F.col("__r") == HITS)
+    cuts = hits.groupBy(*by).agg(F.min("__pos").alias("__cut"))
+    joined = null_safe_join(broken, cuts, by, "left").select(key, "__text", "__cut")
+    both = whole.withColumn("__cut", F.lit(None).cast("int")).unionByName(joined)
     kept = F.when(
         F.col("__cut").isNotNull(), F.array_join(F.slice(F.split("__text", "[.]"), 1, F.col("__cut")), ".")
     ).otherwise(F.col("__text"))
     trimmed = utrim(kept)
-    return joined.select(
+    return both.select(
         key,
         F.when(F.octet_length(trimmed) == 0, F.col("__text")).otherwise(trimmed).alias("guarded_text"),
         F.col("__cut").isNotNull().alias("was_cut"),

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from segloom.functions.text import ellipsize_bytes, is_blank, utrim
 from segloom.functions.timecode import parse_offset_ms, parse_timestamp
-from segloom.operators.ordered import positions
+from segloom.operators.ordered import lagged, positions
 
 TYPES = ("speech", "visual", "sound")
 CONTEXT_ROWS = 5
@@ -100,10 +100,9 @@ def contexts(df: DataFrame, by: list[str], rows: int = CONTEXT_ROWS, limit: int
     return chunk_texts(df, by, rows, limit).drop("transcript")
 
 
-def previous_contexts(df: DataFrame, job: str = "job_id", index: str = "chunk_index") -> DataFrame:
-    """Each chunk with the context of the chunk before it; null for the first."""
-    w = Window.partitionBy(job).orderBy(index)
-    return df.withColumn("previous_context", F.lag("context").over(w))
+def previous_contexts(df: DataFrame, job: str = "job_id", index: str = "chunk_index", bucket: int = 4096) -> DataFrame:
+    """Each chunk with the context of the chunk before it; null for the first. Long jobs are taken in buckets of chunks."""
+    return lagged(df, [job], [index], F.floor(F.col(index) / bucket), "context", "previous_context")
 
 
 def merge_timeline(df: DataFrame, entity: str = "job_id", bucket_seconds: int = 600) -> DataFrame:
