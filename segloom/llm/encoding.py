@@ -2,9 +2,10 @@
 
 Texts are cut where a rolling hash of the last characters says so, so that equal stretches of different
 documents give equal chunks. Each distinct chunk is encoded once. A cut may split what the tokenizer would
-have kept together, so joins are repaired: the unsettled end of one chunk and the start of the next are encoded again
-until a piece boundary of the new encoding meets one of the chunk's own; from there on both agree, because
-the tokenizer's pattern looks ahead by one character but never back.
+have kept together, so joins are repaired: the end of one chunk and the start of the next are encoded again, out to
+the nearest places where any encoding of any surrounding text must have a boundary. The tokenizer's pattern
+never puts white space behind another character into one piece and looks ahead by white space only, so such a
+place is wherever a blank or line feed follows a character that is not white space; there both encodings agree.
 """
 
 from __future__ import annotations
@@ -13,12 +14,10 @@ import base64
 import hashlib
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,38 +27,17 @@ TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 #: Fixed value: the tokenizer's splitting pattern, as its publisher states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters past its own end that a piece's match may have looked at, and past its start for a contraction.
-LOOK_END, LOOK_START = 1, 3
 #: Characters the rolling hash sees; a power of two, so that it is built by doubling.
 WINDOW = 32
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 512, 4096
-#: Pieces at a chunk's start at which a repaired join may end; a join that needs more sends its text to be encoded whole.
-HEAD_PIECES = 12
+#: Marks of texts and chunks a task remembers before it forgets and may emit some again.
 CACHE = 400_000
-
-
-#: The same pattern for texts of ASCII characters only, where the plain engine splits alike and faster.
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-
-
-class Pieces(dict):
-    """Ids of pieces; a piece not met yet is encoded, short ones are remembered up to a bound."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = tuple(self.encode(piece))
-        if len(piece) <= 40:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = found
-        return found
+#: Encoded chunks a task keeps at hand; equal chunks come one after another, so few are enough.
+KEPT_CHUNKS = 2_000
 
 
 class Encoder:
-    """Piece-wise encoder with a bounded memory of pieces."""
+    """The tokenizer without special tokens."""
 
     def __init__(self, directory: str = TOKENIZER_DIR, name: str = TOKENIZER):
         import tiktoken
@@ -67,19 +45,11 @@ class Encoder:
         with open(os.path.join(directory, f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bpe = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.any, self.ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
-        self.known = Pieces(self.bpe._encode_single_piece)
         #: Ids travel between stages as narrow as the vocabulary allows.
         self.narrow = np.uint16 if max(ranks.values()) < 1 << 16 else np.int32
 
-    def pieces(self, text: str) -> list[str]:
-        return self.ascii(text) if text.isascii() else self.any(text)
-
-    def ids(self, pieces: Iterable[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
-
     def encode(self, text: str) -> list[int]:
-        return self.ids(self.pieces(text))
+        return self.bpe.encode_ordinary(text)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -177,144 +147,109 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CHUNK.types, strict=True)], schema=CHUNK)
 
 
-ENCODED = pa.schema(
-    [
-        ("chunk", pa.binary()),
-        ("body", pa.binary()),
-        ("head", pa.string()),
-        ("head_ends", pa.binary()),
-        ("head_counts", pa.binary()),
-        ("tail", pa.string()),
-        ("whole", pa.bool_()),
-    ]
-)
-ENCODED_DDL = "chunk binary, body binary, head string, head_ends binary, head_counts binary, tail string, whole boolean"
-
-
-def encode_chunk(enc: Encoder, text: str) -> tuple[list[int], str, list[int], list[int], str, bool]:
-    """(settled ids, head text, head piece ends, head id counts, unsettled tail text, is the head the whole chunk)."""
-    pieces = enc.pieces(text)
-    settled, at = len(pieces), len(text)
-    while settled:  # from the end, as only pieces near it can be unsettled
-        start = at - len(pieces[settled - 1])
-        if max(at + LOOK_END, start + LOOK_START) <= len(text):
+ENCODED = pa.schema([("doc", pa.binary()), ("pos", pa.int32()), ("head", pa.string()), ("body", pa.binary()), ("tail", pa.string())])
+ENCODED_DDL = "doc binary, pos int, head string, body binary, tail string"
+SURE = re.compile(r"\S(?=[ \n])")
+
+
+def sure_places(text: str) -> tuple[int, int] | None:
+    """The first and the last place at which every encoding of every text around this one has a boundary.
+
+    None if there are not two of them.
+    """
+    m = SURE.search(text)
+    if m is None:
+        return None
+    first = last = m.end()
+    at = len(text)
+    while at > first:
+        at = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at))
+        if at > first and not text[at - 1].isspace():
+            last = at
             break
-        at = start
-        settled -= 1
-    body = enc.ids(pieces[:settled])
-    ends, counts = [0], [0]
-    for piece in pieces[: min(settled, HEAD_PIECES)]:
-        ends.append(ends[-1] + len(piece))
-        counts.append(counts[-1] + len(enc.known[piece]))
-    # A little text past the last end lets the pieces before it settle.
-    head = text if settled <= HEAD_PIECES else text[: ends[-1] + LOOK_START + 1]
-    return body, head, ends, counts, text[at:], len(head) == len(text)
+    return (first, last) if last > first else None
+
+
+def encode_chunk(enc: Encoder, text: str) -> tuple[str, bytes | None, str | None]:
+    """(text before the first sure place, ids up to the last, text after it); without two such places only the text."""
+    places = sure_places(text)
+    if places is None:
+        return text, None, None
+    first, last = places
+    return text[:first], np.array(enc.encode(text[first:last]), enc.narrow).tobytes(), text[last:]
 
 
 def _encode(directory: str, name: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(directory, name)
-        ints = lambda x, kind=np.uint16: np.array(x, kind).tobytes()
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             out = []
-            for key, text in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                body, head, ends, counts, tail, whole = encode_chunk(enc, text)
-                out.append((key, ints(body, enc.narrow), head, ints(ends), ints(counts), tail, whole))
+            columns = [batch.column(c).to_pylist() for c in ("doc", "pos", "chunk", "text")]
+            for doc, pos, key, text in zip(*columns, strict=True):
+                made = known.get(key)
+                if made is None:
+                    if len(known) >= KEPT_CHUNKS:
+                        known.clear()
+                    made = known[key] = encode_chunk(enc, text)
+                out.append((doc, pos, *made))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ENCODED.types, strict=True)], schema=ENCODED)
 
     return encode
 
 
-def join_chunks(enc: Encoder, chunks: list[tuple[np.ndarray, str, np.ndarray, np.ndarray, str, bool]]) -> list[np.ndarray] | None:
-    """Ids of a text from its encoded chunks, or None if a join needs more of a chunk than its head."""
+def join_chunks(enc: Encoder, chunks: Iterable[tuple[str, bytes | None, str | None]]) -> list[np.ndarray]:
+    """Ids of a text from its encoded chunks in order."""
     out: list[np.ndarray] = []
     pending = ""
-    for body, head, ends, counts, tail, whole in chunks:
-        if not pending:
-            out.append(body)
-            pending = tail
-            continue
-        joined = pending + head
-        own = {len(pending) + int(e): k for k, e in enumerate(ends)}
-        ids: list[int] = []
-        at, agreed = 0, None
-        for piece in enc.pieces(joined):
-            if at in own and at >= len(pending):
-                agreed = own[at]
-                break
-            end = at + len(piece)
-            if max(end + LOOK_END, at + LOOK_START) > len(joined):
-                break
-            ids += enc.known[piece]
-            at = end
-        if agreed is not None:
-            out += [np.array(ids, np.int32), body[counts[agreed] :]]
-            pending = tail
-        elif whole:
-            pending = joined
-        else:
-            return None
-    out.append(np.array(enc.encode(pending), np.int32))
+    for head, body, tail in chunks:
+        pending += head
+        if body is not None:
+            out.append(np.array(enc.encode(pending), enc.narrow))
+            out.append(np.frombuffer(body, enc.narrow))
+            pending = tail or ""
+    out.append(np.array(enc.encode(pending), enc.narrow))
     return out
 
 
 def _join(directory: str, name: str):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(directory, name)
-        ints = lambda x, kind=np.uint16: np.frombuffer(x, kind)
+        last: tuple[bytes, np.ndarray] | None = None
         for batch in batches:
-            values, offsets, done = [], [0], []
-            for parts in batch.column("parts"):
-                rows = sorted(parts.as_py(), key=lambda p: p["pos"])
-                made = join_chunks(enc, [(ints(r["body"], enc.narrow), r["head"], ints(r["head_ends"]), ints(r["head_counts"]), r["tail"], r["whole"]) for r in rows])
-                done.append(made is not None)
-                values += made or []
-                offsets.append(offsets[-1] + sum(map(len, made or [])))
-            flat = pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(done)],
-                names=["doc", "ids", "done"],
-            )
+            lists = batch.column("parts")
+            flat, ends = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            pos, head, body, tail = (flat.field(c).to_pylist() for c in ("pos", "head", "body", "tail"))
+            values = []
+            for row, mark in enumerate(batch.column("doc").to_pylist()):
+                if last is None or last[0] != mark:  # exact copies lie side by side
+                    at = sorted(range(ends[row], ends[row + 1]), key=pos.__getitem__)
+                    last = mark, np.concatenate(join_chunks(enc, ((head[i], body[i], tail[i]) for i in at)))
+                values.append(last[1])
+            offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+            ids = pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["doc_id", "ids"])
 
     return join
 
 
-def _direct(directory: str, name: str):
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(directory, name)
-        for batch in batches:
-            ids = [enc.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return direct
-
-
 def encode_documents(df: DataFrame, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """doc_id and ids of each document, without special tokens.
 
     Needs doc_id and text; other columns are ignored. Null and empty texts have the empty list, blank texts are
     encoded like any other, strings of special tokens are ordinary text, texts of any length are encoded whole.
     Exactly repeated rows give one row; one doc_id with different texts gives a row for each. An empty input gives none.
+
+    Texts are shuffled once, as distinct chunks, and ids once, to their document's parts; a chunk or text that very
+    many documents share meets only small rows on the other side of its join, which AQE splits.
     """
     rows = df.select("doc_id", "text")
     empty = rows.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
-    filled = rows.where("text <> ''")
-    found = cut(filled.mapInArrow(_chunks, CHUNK_DDL))
+    found = cut(rows.where("text <> ''").mapInArrow(_chunks, CHUNK_DDL))
     texts = found.where("text is not null").select("chunk", "text").repartition("chunk").distinct()
-    encoded = texts.mapInArrow(_encode(directory, name), ENCODED_DDL)
     places = found.where("pos >= 0").select("doc", "pos", "chunk").distinct()
-    parts = (
-        places.join(encoded, "chunk")
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("pos", "body", "head", "head_ends", "head_counts", "tail", "whole")).alias("parts"))
-    )
-    made = cut(parts.mapInArrow(_join(directory, name), "doc binary, ids array<int>, done boolean"))
-    # Exact copies share their text's ids.
-    joined = found.where("pos = -1").select("doc_id", "doc").distinct().join(made, "doc")
-    open_docs = joined.where("not done").select("doc_id").distinct()
-    if made.where("not done").isEmpty():
-        return joined.select("doc_id", "ids").unionByName(empty)
-    again = filled.join(open_docs, "doc_id", "left_semi").distinct().mapInArrow(_direct(directory, name), "doc_id bigint, ids array<int>")
-    whole = joined.join(open_docs, "doc_id", "left_anti").select("doc_id", "ids")
-    return whole.unionByName(again).unionByName(empty)
+    encoded = places.join(texts, "chunk").select("doc", "pos", "chunk", "text").mapInArrow(_encode(directory, name), ENCODED_DDL)
+    parts = encoded.groupBy("doc").agg(F.collect_list(F.struct("pos", "head", "body", "tail")).alias("parts"))
+    docs = found.where("pos = -1").select("doc_id", "doc").distinct()
+    return docs.join(parts, "doc").select("doc_id", "doc", "parts").mapInArrow(_join(directory, name), "doc_id bigint, ids array<int>").unionByName(empty)
