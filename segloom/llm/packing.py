@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segloom.runtime import cut
+
 CAPACITY = 2_048
 #: Documents a group holds on average; groups are packed independently of each other.
 GROUP_DOCUMENTS = 20_000
@@ -78,7 +80,7 @@ def pack_items(sizes: DataFrame, capacity: int = CAPACITY, group_documents: int
     doc_id is an item; an empty input gives no row. Groups are made by a hash of doc_id, so their number
     follows the input and each is bounded whatever the documents' sources are.
     """
-    counted = sizes.where("size > 0").groupBy("doc_id", F.col("size").cast("bigint").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(sizes.where("size > 0").groupBy("doc_id", F.col("size").cast("bigint").alias("size")).agg(F.count(F.lit(1)).alias("n")))
     groups = max(1, round((counted.agg(F.sum("n")).first()[0] or 0) / group_documents))
     # Repeated rows are numbered, so that they spread too and a task run again spreads them alike.
     items = counted.select("doc_id", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy"))
