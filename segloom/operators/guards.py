@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segloom.functions.text import is_blank, strip_thinking, utrim
+from segloom.functions.text import SPACES, is_blank, strip_thinking, utrim
 from segloom.operators.ordered import null_safe_join
 
-#: Unicode White_Space, one by one.
-SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 KEY_BYTES = 15
 HITS = 3
 
