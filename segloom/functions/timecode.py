@@ -31,20 +31,34 @@ def _number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
+CANONICAL = r"^\d\d:\d\d:\d\d\.\d{3}$"
+
+
+def _digits(c: Column) -> Column:
+    """The nine digits of a canonical time code as one number."""
+    return F.replace(F.replace(c, F.lit(":"), F.lit("")), F.lit("."), F.lit("")).try_cast("bigint")
+
+
 def parse_timestamp(c: Column) -> Column:
     """Seconds of a strict ``H:M:S[.fraction]`` string, else null.
 
     Exactly three parts; the fraction is its digits over a power of ten, and what follows a second
-    dot is ignored. Words such as ``inf`` and ``nan`` are not numbers here.
+    dot is ignored. Words such as ``inf`` and ``nan`` are not numbers here. As in :func:`parse_offset_ms`, only
+    what is not in the canonical form goes through an interpreted lambda.
     """
-    parts = F.split(c, ":")
-    sec = F.split(F.get(parts, F.lit(2)), "[.]")
-    fraction = F.get(sec, F.lit(1))
-    value = F.when(F.size(sec) > 1, _number(fraction) / F.pow(F.lit(10.0), F.octet_length(fraction))).otherwise(F.lit(0.0))
-    return F.when(
-        F.size(parts) == 3,
-        _number(F.get(parts, F.lit(0))) * 3600 + _number(F.get(parts, F.lit(1))) * 60 + _number(F.get(sec, F.lit(0))) + value,
-    )
+
+    def slow(text: Column) -> Column:
+        parts = F.split(text, ":")
+        sec = F.split(F.get(parts, F.lit(2)), "[.]")
+        fraction = F.get(sec, F.lit(1))
+        value = F.when(F.size(sec) > 1, _number(fraction) / F.pow(F.lit(10.0), F.octet_length(fraction))).otherwise(F.lit(0.0))
+        whole = _number(F.get(parts, F.lit(0))) * 3600 + _number(F.get(parts, F.lit(1))) * 60 + _number(F.get(sec, F.lit(0)))
+        return F.when(F.size(parts) == 3, whole + value)
+
+    d = _digits(c)
+    whole = F.floor(d / 10_000_000) * 3600 + F.floor(d / 100_000) % 100 * 60 + F.floor(d / 1000) % 100
+    fast = whole.cast("double") + (d % 1000) / F.lit(1000.0)
+    return F.when(c.rlike(CANONICAL), fast).otherwise(F.get(F.transform(F.array(c), slow), F.lit(0)))
 
 
 def parse_offset_ms(c: Column) -> Column:
@@ -57,7 +71,7 @@ def parse_offset_ms(c: Column) -> Column:
     The canonical 12-character form, nearly all rows, is read as one number. The rest goes through an interpreted
     lambda, which keeps the generated code of the common case small enough to be compiled.
     """
-    digits = F.replace(F.replace(c, F.lit(":"), F.lit("")), F.lit("."), F.lit("")).try_cast("bigint")
+    digits = _digits(c)
     fast = F.floor(digits / 10_000_000) * 3_600_000 + F.floor(digits / 100_000) % 100 * 60_000 + digits % 100_000
 
     def slow(plain: Column) -> Column:
@@ -68,7 +82,7 @@ def parse_offset_ms(c: Column) -> Column:
 
     plain = F.regexp_replace(F.translate(F.trim(F.lower(c)), "hm,", "::."), r"\s+|s$", "")
     other = F.get(F.transform(F.array(plain), slow), F.lit(0))
-    return F.when(c.rlike(r"^\d\d:\d\d:\d\d\.\d{3}$"), fast).otherwise(other)
+    return F.when(c.rlike(CANONICAL), fast).otherwise(other)
 
 
 def chunk_name(index: Column) -> Column:
