@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +68,7 @@ def parse_offset_ms(c: Column) -> Column:
     """Milliseconds from offset 0 for every notation seen in delivered rows, else null.
 
     Accepts ``H:M:S.f``, ``M:S.f``, ``S.f``, a comma for the dot, no fraction, a trailing ``s``,
-    ``0h00m00.000s`` and white space around any of them. What lies 2**44 ms (557 years) out or more is no offset of
-    a recording and gives null.
+    ``0h00m00.000s`` and white space around any of them. An offset beyond 64 bits gives null.
 
     The canonical 12-character form, nearly all rows, is read as one number. The rest goes through an interpreted
     lambda, which keeps the generated code of the common case small enough to be compiled.
@@ -78,13 +80,24 @@ def parse_offset_ms(c: Column) -> Column:
         parts = F.split(plain, ":")
         part = lambda k: F.coalesce(F.try_element_at(parts, F.lit(-k)).try_cast("double"), F.lit(0.0))
         ms = F.round((part(3) * 3600 + part(2) * 60 + part(1)) * 1000).try_cast("bigint")
-        return F.when(plain.rlike(r"^(\d+:){0,2}\d+(\.\d*)?$") & (ms < 1 << 44), ms)
+        return F.when(plain.rlike(r"^(\d+:){0,2}\d+(\.\d*)?$") & ms.isNotNull(), ms)
 
     plain = F.regexp_replace(F.translate(F.trim(F.lower(c)), "hm,", "::."), r"\s+|s$", "")
     other = F.get(F.transform(F.array(plain), slow), F.lit(0))
     return F.when(c.rlike(CANONICAL), fast).otherwise(other)
 
 
+def offset_ms(text: str | None) -> int | None:
+    """:func:`parse_offset_ms` of one text, for use inside a partition."""
+    if text is None:
+        return None
+    plain = re.sub(r"[ \t\n\x0b\f\r]+|s$", "", text.lower().strip(" ").translate({104: ":", 109: ":", 44: "."}))
+    if not re.fullmatch(r"([0-9]+:){0,2}[0-9]+(\.[0-9]*)?", plain):
+        return None
+    h, m, s = ([0.0, 0.0] + [float(part) for part in plain.split(":")])[-3:]
+    return math.floor((h * 3600 + m * 60 + s) * 1000 + 0.5)
+
+
 def chunk_name(index: Column) -> Column:
     """Folder name of a chunk, at least three digits wide."""
     return F.format_string("chunk_%03d", index)

@@ -59,11 +59,6 @@ def frame_batches(df: DataFrame, fps: float = FRAMES_PER_SECOND, per_request: in
     )
 
 
-def batch_of(index: Column, per_request: int = FRAMES_PER_REQUEST) -> Column:
-    """Batch number of a zero-based frame."""
-    return F.floor(index / per_request)
-
-
 def to_global(start_seconds: Column, centiseconds: Column) -> Column:
     """Global offset of a recogniser's time inside a chunk."""
     return start_seconds + centiseconds.cast("bigint") / F.lit(100.0)

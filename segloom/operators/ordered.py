@@ -1,10 +1,9 @@
 """Order-dependent operators without one task per entity.
 
-A window over ``partitionBy(entity)`` puts a whole entity, however large, into one task. Here rows are
-range-partitioned on (entity, order keys) instead: every task gets a contiguous slice of the global order,
-an entity may span many tasks, and equal rows meet in one task. A state machine runs over each slice and
-emits finished results plus at most two open fragments per slice; fragments number no more than
-twice the tasks and are stitched by an ordinary window.
+A window over ``partitionBy(entity)`` puts a whole entity, however large, into one task. Here an entity with very
+many rows is cut into ranges of its order: every task gets whole entities and contiguous ranges of large ones, in
+order. A state machine runs over each and emits finished results; only at the edges of ranges it emits
+open fragments, whose number is bounded by the number of ranges, and an ordinary window stitches them.
 """
 
 from __future__ import annotations
@@ -15,13 +14,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of one entity that a task takes in order; an entity with more is cut into ranges of about so many.
+SLICE_ROWS = 200_000
+#: Entities that are cut and ranges that are made of them, at most about twice; with more rows ranges grow instead.
+MOST_RANGES = 20_000
+#: Sampled keys by which a range's bounds are placed; they decide the balance of tasks, not the result.
+SAMPLES = 40
+#: Steps of the search for a row's range: 2 ** 17 is above twice MOST_RANGES.
+STEPS = 17
+RANGE = "__range"
 
-def slices(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` in contiguous, locally sorted slices of the order given by ``keys``.
 
-    The keys must identify a row up to repeated deliveries; then repeats are neighbours in one slice.
+def _below(bounds: Column, key: Column) -> Column:
+    """How many of the sorted ``bounds`` are not above ``key``, by bisection."""
+    span = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def step(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        up = F.get(bounds, middle) <= key
+        return F.when(at["low"] >= at["high"], at).when(up, span(middle + 1, at["high"])).otherwise(span(at["low"], middle))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), span(F.lit(0), F.size(bounds)), step)
+    return found["low"]
+
+
+def slices(df: DataFrame, entity: Sequence[str], order: Sequence[str], sizes: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with its entities in order in the tasks, and the column ``__range``: -1, or the number of a range.
+
+    ``entity`` and ``order`` must identify a row up to repeated deliveries; then repeats are neighbours in one range.
+    ``sizes`` holds the entity's columns for counting, where counting ``df`` itself would cost its evaluation; it need
+    not agree with ``df`` exactly. Entities above ``slice_rows`` are cut at quantiles of their whole order,
+    so that even rows of one instant spread. ``df`` is evaluated once, and once more without its other
+    columns if there are such entities. The bounds that are broadcast number at most twice MOST_RANGES.
     """
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    counted = (df if sizes is None else sizes).groupBy(*entity).agg(F.count(F.lit(1)).alias("__n"))
+    # Those left out by the limit are smaller than all of these, so none holds more than a 20,000th of all rows.
+    large = counted.where(F.col("__n") > slice_rows).orderBy(F.desc("__n")).limit(MOST_RANGES).collect()
+    if not large:
+        placed = df.withColumn(RANGE, F.lit(-1))
+    else:
+        step = max(slice_rows, -(-sum(r["__n"] for r in large) // MOST_RANGES))
+        rows = [(*(r[c] for c in entity), -(-r["__n"] // step), min(1.0, SAMPLES * (-(-r["__n"] // step)) / r["__n"])) for r in large]
+        kinds = dict(df.dtypes)
+        few = df.sparkSession.createDataFrame(rows, ", ".join(f"{c} {kinds[c]}" for c in entity) + ", __ranges int, __rate double")
+        key = F.struct(*order)
+        drawn = null_safe_join(df.select(*entity, *order), F.broadcast(few), entity).where(
+            F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < F.col("__rate") * (1 << 30)
+        )
+        keys = drawn.groupBy(*entity).agg(F.array_sort(F.collect_set(key)).alias("__keys"), F.first("__ranges").alias("__ranges"))
+        at = lambda i: F.get("__keys", F.floor(i * F.size("__keys") / F.col("__ranges")).cast("int"))
+        bounds = F.when(F.col("__ranges") > 1, F.transform(F.sequence(F.lit(1), F.col("__ranges") - 1), at))
+        placed = null_safe_join(df, F.broadcast(keys.select(*entity, bounds.alias("__bounds"))), entity, "left")
+        placed = placed.withColumn(RANGE, F.when(F.col("__bounds").isNull(), F.lit(-1)).otherwise(_below(F.col("__bounds"), key))).drop("__bounds")
+    return placed.repartition(*entity, RANGE).sortWithinPartitions(*entity, *order)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -37,7 +82,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def positions(df: DataFrame, entity: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "position") -> DataFrame:
     """Zero-based rank of each row in its entity, by ``order``, computed in buckets.
 
-    ``bucket`` must be monotone in the first order key. Only per-bucket counts, not rows, meet per entity.
+    ``bucket`` must be monotone in ``order``. Only per-bucket counts, not rows, meet per entity.
     """
     keyed = df.withColumn("__bucket", bucket)
     inner = Window.partitionBy(*entity, "__bucket").orderBy(*order)

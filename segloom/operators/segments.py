@@ -106,16 +106,26 @@ def previous_contexts(df: DataFrame, job: str = "job_id", index: str = "chunk_in
 
 
 def merge_timeline(df: DataFrame, entity: str = "job_id", bucket_seconds: int = 600) -> DataFrame:
-    """Position of each row in its timeline: stable by parsed start, an unparsable start counting as 0."""
+    """Position of each row in its timeline: stable by parsed start, an unparsable start counting as 0.
+
+    Rows that start at 0, among them all unparsable ones, are parted further by their chunk.
+    """
+    start = F.col("start_s")
     df = df.withColumn("start_s", F.coalesce(parse_timestamp(F.col("start_time")), F.lit(0.0)))
-    order = [F.col("start_s"), F.col("chunk_index"), F.col("ord"), F.col("seg_id")]
-    return positions(df, [entity], order, F.floor(F.col("start_s") / bucket_seconds))
+    chunk = F.when(start != 0, F.lit((1 << 63) - 1)).otherwise(F.col("chunk_index").cast("bigint"))
+    bucket = F.struct(F.floor(start / bucket_seconds).alias("time"), chunk.alias("chunk"))
+    return positions(df, [entity], [start, F.col("chunk_index"), F.col("ord"), F.col("seg_id")], bucket)
 
 
-def collect_timelines(df: DataFrame, entity: str = "job_id") -> DataFrame:
-    """One row per entity with its segments nested in timeline order."""
+def collect_timelines(df: DataFrame, entity: str = "job_id", part_rows: int | None = None) -> DataFrame:
+    """One row per entity with its segments nested in timeline order, the shape of one timeline file.
+
+    Such a row is as large as its timeline, and so is its task. With ``part_rows`` it comes in parts of at most so many
+    segments, numbered from 0 in ``part``, which bounds both; the flat rows of :func:`merge_timeline` need neither.
+    """
     item = F.struct("position", F.struct(F.col("type"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), "content").alias("seg"))
-    return df.groupBy(entity).agg(
+    parts = [] if part_rows is None else [F.floor(F.col("position") / part_rows).alias("part")]
+    return df.groupBy(entity, *parts).agg(
         F.transform(F.array_sort(F.collect_list(item)), lambda x: x["seg"]).alias("segments"),
         F.count(F.lit(1)).alias("segment_count"),
     )

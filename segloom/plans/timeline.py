@@ -89,6 +89,12 @@ def nested_timelines(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("job_id", "segment_count", starts.alias("starts"))
 
 
+def timeline_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Nested timelines in parts of at most 10,000 segments, so that no job's row outgrows its task."""
+    nested = seg_ops.collect_timelines(seg_ops.merge_timeline(segments(spark, d)), part_rows=10_000)
+    return nested.select("job_id", "part", "segment_count", F.element_at("segments", 1)["start"].alias("first"), F.element_at("segments", -1)["start"].alias("last"))
+
+
 def exploded_timelines(spark: SparkSession, d: str) -> DataFrame:
     return seg_ops.explode_timelines(load(spark, d, "timelines").select("timeline_id", "segments"))
 
@@ -123,6 +129,25 @@ def response_texts(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", guards.responses_text(body).alias("text"))
 
 
+def chat_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of vision requests over documents, read back: text, first image, streaming and window."""
+    images = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("aGk="))).otherwise(F.array().cast("array<string>"))
+    body = prompts.chat_request("m", F.col("text"), images)
+    part = lambda path: F.get_json_object("body", path)
+    return (
+        load(spark, d, "documents")
+        .select("doc_id", body.alias("body"))
+        .select("doc_id", part("$.messages[0].content").alias("content"), part("$.messages[0].images[0]").alias("image"), part("$.stream").alias("stream"), part("$.options.num_ctx").alias("window"))
+    )
+
+
+def chat_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Text of the first choice of chat answers, some of which hold no choice."""
+    message = F.struct(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"))
+    body = F.when(F.col("doc_id") % 7 == 0, F.lit('{"choices": []}')).otherwise(F.to_json(F.struct(F.array(message).alias("choices"))))
+    return load(spark, d, "documents").select("doc_id", guards.chat_text(body).alias("text"))
+
+
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
@@ -301,8 +326,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         timecode_parse, timecode_format, chunk_plan, frame_batches, classify_segments, transcript, recent_context, prev_context,
-        vision_prompts, merge_timeline, nested_timelines, exploded_timelines, repetition_guard, strip_thinking, vision_answers,
-        response_texts, event_properties, pack_sections, pack_sections_small, stitched_sections, token_estimate, header_context,
+        vision_prompts, merge_timeline, nested_timelines, timeline_parts, exploded_timelines, repetition_guard, strip_thinking, vision_answers,
+        response_texts, chat_requests, chat_answers, event_properties, pack_sections, pack_sections_small, stitched_sections, token_estimate, header_context,
         byte_cut, unicode_trim, resume_antijoin, resume_left, source_hash, cache_semijoin, cache_misses, cache_list, output_paths,
         format_selectors, error_texts, uuid_valid, segment_validation, model_present, pcm_normalise, recogniser_times,
         persisted_results, job_results, job_fold, status_changes, cancel_all, job_summary, stage_union,

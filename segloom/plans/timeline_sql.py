@@ -126,6 +126,8 @@ ORACLE = {
     "vision_prompts": f"with {SEGS}, {TRANSCRIPTS}, {CONTEXTS} select job_id, chunk_index, {PROMPT} as prompt from transcripts join carried using (job_id, chunk_index)",
     "merge_timeline": f"with {SEGS}, {MERGED} select job_id, seg_id, position, start_s from placed",
     "nested_timelines": f"with {SEGS}, {MERGED} select job_id, count(*) as segment_count, string_agg(coalesce(start_time, '?'), '|' order by position) as starts from placed group by job_id",
+    "timeline_parts": f"""with {SEGS}, {MERGED} select job_id, position // 10000 as part, count(*) as segment_count,
+      arg_min_null(start_time, position) as first, arg_max_null(start_time, position) as last from placed group by job_id, position // 10000""",
     "exploded_timelines": """with e as (select timeline_id, unnest(segments) as s, generate_subscripts(segments, 1) as i from timelines)
       select timeline_id, cast(i - 1 as integer) as position, s.type as type, s.start as start, s."end" as "end", s.content as content from e""",
     "repetition_guard": f"""with s as (select doc_id, unnest(string_split(text, '.')) as s, generate_subscripts(string_split(text, '.'), 1) - 1 as pos from documents),
@@ -139,6 +141,8 @@ ORACLE = {
       select doc_id, case when t is not null and not {blank('t')} then {utrim('t')} end as content,
         case when t is null then 'vision model error: response has no message content' when {blank('t')} then 'vision model error: empty response' end as error from t""",
     "response_texts": "select event_id, event_type || chr(10) || chr(10) || user_id as text from events",
+    "chat_requests": "select doc_id, text as content, case when doc_id % 2 = 0 then 'aGk=' end as image, 'false' as stream, '65536' as \"window\" from documents",
+    "chat_answers": "select doc_id, case when doc_id % 7 = 0 then '' else coalesce(text, '') end as text from documents",
     "event_properties": "select event_id, json_extract_string(props, '$.k') as k from events",
     "pack_sections": packed(25_000) + " select timeline_id, cast(i - 1 as integer) as position, tokens, section from pack",
     "pack_sections_small": packed(2_500) + " select timeline_id, cast(i - 1 as integer) as position, tokens, section from pack",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -51,15 +52,52 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Tables written by :func:`cut`: a weak reference to what every plan that reads the table holds, and its path.
+_TABLES: list[tuple] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession, everything: bool = False) -> int:
+    """Deletes the tables of :func:`cut` that no plan reads any more, or all of them; gives how many are left."""
+    left = []
+    for entry in _TABLES:
+        reference, path, owner = entry
+        try:
+            if everything or reference.get() is None:
+                _delete(owner, path)
+            else:
+                left.append(entry)
+        except Exception:  # the JVM is gone, and so are the session and its plans
+            continue
+    _TABLES[:] = left
+    return len(left)
+
+
+@atexit.register
+def _leave() -> None:
+    if _TABLES:
+        sweep(_TABLES[0][2], everything=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once as a table in the shared checkpoint folder and reads it from there.
 
-    Like a checkpoint the table survives the loss of executors, but it is compressed and read by column.
+    Like a checkpoint the table survives the loss of executors, but it is compressed and read by column. It is
+    deleted when no plan refers to it any more, seen at the next cut, and at the latest when Python ends.
     """
     spark = df.sparkSession
+    sweep(spark)
     path = os.path.join(ensure_checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    # Plans are copied as they are rewritten, but all copies share the relation's list of files.
+    files = read._jdf.queryExecution().analyzed().relation().location()
+    _TABLES.append((spark._jvm.java.lang.ref.WeakReference(files), path, spark))
+    return read
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -73,3 +73,11 @@ def test_header_and_selector(spark):
 
 def test_errors(spark):
     assert column(spark, ["vision", "cancelled", "other"], lambda c: T.error_text(c, F.lit("x"))) == ["vision model error: x", "job cancelled", None]
+
+
+def test_offset_of_one_text_agrees(spark):
+    from segloom.functions.timecode import offset_ms, parse_offset_ms
+
+    texts = ["00:01:02.345", "1:02,5", "62.3455s", "0h01m02.000s", " 5 ", "5.", "x", "", None, "1:2:3:4", "-1", "9999999:00:00", "0:00:0.0005", "1h"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_offset_ms(F.col("t")).alias("ms")).collect()
+    assert [r.ms for r in rows] == [offset_ms(t) for t in texts]
