@@ -38,15 +38,16 @@ def _below(bounds: Column, key: Column) -> Column:
     return found["low"]
 
 
-def slices(df: DataFrame, entity: Sequence[str], order: Sequence[str], sizes: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def slices(df: DataFrame, entity: Sequence[str], order: Sequence[str], sizes: DataFrame | None = None, slice_rows: int | None = None) -> DataFrame:
     """``df`` with its entities in order in the tasks, and the column ``__range``: -1, or the number of a range.
 
     ``entity`` and ``order`` must identify a row up to repeated deliveries; then repeats are neighbours in one range.
     ``sizes`` holds the entity's columns for counting, where counting ``df`` itself would cost its evaluation; it need
-    not agree with ``df`` exactly. Entities above ``slice_rows`` are cut at quantiles of their whole order,
+    not agree with ``df`` exactly. Entities above ``slice_rows`` (SLICE_ROWS if not given) are cut at quantiles of their whole order,
     so that even rows of one instant spread. ``df`` is evaluated once, and once more without its other
     columns if there are such entities. The bounds that are broadcast number at most twice MOST_RANGES.
     """
+    slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
     counted = (df if sizes is None else sizes).groupBy(*entity).agg(F.count(F.lit(1)).alias("__n"))
     # Those left out by the limit are smaller than all of these, so none holds more than a 20,000th of all rows.
     large = counted.where(F.col("__n") > slice_rows).orderBy(F.desc("__n")).limit(MOST_RANGES).collect()
