@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segloom.llm import encoding, lookalike, packing, repetition, runs, splitting, truncation, turns
-from segloom.operators.segments import usable
+from segloom.operators.segments import normal_type, usable
 from segloom.plans.intervals import USABLE_SQL
 from segloom.runtime import load
 
@@ -19,19 +19,22 @@ def _speech(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Turns of interview jobs."""
-    found = turns.speaker_turns(_speech(spark, d), load(spark, d, "speakers"))
+    sizes = load(spark, d, "segments").select("job_id")
+    found = turns.speaker_turns(_speech(spark, d), load(spark, d, "speakers"), texts=False, sizes=sizes)
     return found.select("job_id", "speaker_id", "first_seg_id", "last_seg_id")
 
 
 def p1_turns(spark: SparkSession, d: str) -> DataFrame:
     """Clean turns with text, also split at silences longer than nearly all."""
-    speech = _speech(spark, d)
-    return turns.speaker_turns(speech, load(spark, d, "speakers"), turns.calibrated_pause(speech))
+    speech, sizes = _speech(spark, d), load(spark, d, "segments").select("job_id")
+    return turns.speaker_turns(speech, load(spark, d, "speakers"), turns.calibrated_pause(speech), sizes=sizes)
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    found = runs.collapse_runs(usable(load(spark, d, "segments"), "content"))
-    return runs.without_interview_speech(found, load(spark, d, "jobs"))
+def _runs(spark: SparkSession, d: str, max_gap_ms: int | None = None) -> DataFrame:
+    segments = load(spark, d, "segments")
+    rows = runs.without_interview_speech(usable(segments, "content"), load(spark, d, "jobs"))
+    sizes = segments.select("job_id", normal_type(F.col("segment_type")).alias("segment_type"))
+    return runs.collapse_runs(rows, max_gap_ms=max_gap_ms, sizes=sizes)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +43,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_events(spark: SparkSession, d: str) -> DataFrame:
-    """Each run as one event with its count and duration."""
-    return _runs(spark, d)
+    """Each run as one event with its count and duration; a silence of more than a minute ends a run too."""
+    return _runs(spark, d, max_gap_ms=60_000)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -138,13 +141,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-_RUNS_SQL = (
-    USABLE_SQL
-    + r""", worded as (
-  select *, regexp_replace(lower(nfc_normalize(content)), '[^\p{L}]', '', 'g') as letters from usable
+def _runs_sql(apart: str) -> str:
+    return (
+        USABLE_SQL
+        + rf""", worded as (
+  select *, regexp_replace(lower(nfc_normalize(content)), '[^\p{{L}}]', '', 'g') as letters from usable
   where regexp_matches(content, '\S')
 ), chained as (
-  select *, case when levenshtein(letters, lag(letters) over w) <= 2 then 0 else 1 end as fresh, row_number() over w as pos
+  select *, case when levenshtein(letters, lag(letters) over w) <= 2 {apart} then 0 else 1 end as fresh, row_number() over w as pos
   from worded window w as (partition by job_id, segment_type order by start_ms, chunk_index, ord, seg_id)
 ), numbered as (
   select *, sum(fresh) over (partition by job_id, segment_type order by pos rows unbounded preceding) as n from chained
@@ -156,7 +160,9 @@ _RUNS_SQL = (
   select * from found where not (segment_type = 'speech' and job_id in (select id from jobs where profile = 'interview' and id is not null))
 )
 """
-)
+    )
+
+
 #: Line ends parted by nothing but blanks; a sentence's end is marked first, as the engine has no look-behind.
 _BLANK_LINE = r"(\r\n|\r|\n)([ \t\f\v]*(\r\n|\r|\n))+"
 _FITS = r"len(list_filter({units}, lambda u: length(regexp_replace(u, '^\s+|\s+$', '', 'g')) > 1200)) = 0"
@@ -188,6 +194,6 @@ select seg_id from n join w using (seg_id) where n.n >= 0.4 * len(w.w)"""
 ORACLE: dict[str, str] = {
     "p2_found": _PIECES_SQL,
     "p3_found": _SHARE_SQL,
-    "p4_found": _RUNS_SQL + "select job_id, segment_type, first_seg_id, last_seg_id from kept",
-    "p4_events": _RUNS_SQL + "select *, end_ms - start_ms as duration_ms from kept",
+    "p4_found": _runs_sql("") + "select job_id, segment_type, first_seg_id, last_seg_id from kept",
+    "p4_events": _runs_sql("and start_ms - lag(end_ms) over w <= 60000") + "select *, end_ms - start_ms as duration_ms from kept",
 }

@@ -2,47 +2,61 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segloom.operators.intervals import gaps
-from segloom.operators.ordered import slices
+from segloom.operators.ordered import RANGE, slices
 from segloom.runtime import broadcast_if_small, cut
 
-ORDER = ["job_id", "start_ms", "chunk_index", "ord", "seg_id"]
+ENTITY = ["job_id"]
+ORDER = ["start_ms", "chunk_index", "ord", "seg_id"]
 #: Largest roster that is shipped to the tasks, in people; the table is declared as fixed at a few hundred.
 ROSTER_ROWS = 200_000
 #: Most interview jobs whose ids are broadcast; beyond it the join is shuffled.
 BROADCAST_JOBS = 500_000
 #: Fewest words of a suffix-prefix overlap that is taken for a rolling caption.
-OVERLAP_WORDS = 3
+OVERLAP_WORDS = 2
 
 STAMP = re.compile(r"[\[(<【]?\s*(?<![\w:])\d{1,3}(?::\d{2}){1,2}(?:[.,]\d{1,3})?(?![\w:])\s*[\])>】]?(?:\s*\|)?")
 ANNOTATION = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|\{[^{}]*\}|【[^【】]*】|（[^（）]*）|♪[^♪]*♪|♪|(?<!\*)\*(?!\*)[^*\n]+\*(?!\*)")
 UNCLOSED = re.compile(r"[\[(<{【][^\[\](){}<>【】.?!]*$")
 HESITATION = re.compile(r"(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h+m+|mm+)\Z")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-#: A label may stand where a text, a line or a sentence begins, or after an annotation or another mark.
-LABEL = re.compile(
-    r"""(?P<lead>(?:^|(?<=[\n.?!…—–\-\])}>】♪*|"”]))\s*(?:(?:>>+|[-–—•])\s*)*)
-    (?:<v\s+(?P<voice>[^<>\n]{1,80})>
-      |\[(?P<square>[^\[\]\n]{1,80})\]\s*[:：]?
-      |\((?P<round>[^()\n]{1,80})\)\s*[:：]?
-      |\*\*(?P<bold>[^*\n]{1,80}?)\s*[:：]?\s*\*\*\s*[:：]?
-      |(?P<dash>[^\W\d_][^:：\n\[\]<>?!]{0,60}?)\s+[-–—]\s
-      |(?P<colon>[^\W\d_][^:：\n\[\]<>?!]{0,80}?)\s*[:：]
-    )""",
-    re.X | re.M,
-)
-OFF = re.compile(r"\s*\([^()]*\)\s*$")
 TITLES = {"dr", "mr", "mrs", "ms", "prof", "professor"}
+
+
+@functools.lru_cache(maxsize=64)
+def label_pattern(longest: int) -> re.Pattern:
+    """Where a label may stand and how it may be marked; a bare name has at most ``longest`` characters.
+
+    It may stand where a text, a line or a sentence begins, or after an annotation or another mark. What follows a
+    bare name in round brackets may be of any length.
+    """
+    bare = rf"[^\W\d_][^:：\n\[\]<>?!]{{0,{longest - 1}}}?(?:\s*\([^()\n]*\))?"
+    return re.compile(
+        rf"""(?P<lead>(?:^|(?<=[\n.?!…—–\-\])}}>】♪*|"”]))\s*(?:(?:>>+|[-–—•])\s*)*)
+        (?:<v\s+(?P<voice>[^<>\n]+)>
+          |\[(?P<square>[^\[\]\n]+)\]\s*[:：]?
+          |\((?P<round>[^()\n]+)\)\s*[:：]?
+          |\*\*(?P<bold>[^*\n]+?)\s*[:：]?\s*\*\*\s*[:：]?
+          |(?P<dash>{bare})\s+[-–—]\s
+          |(?P<colon>{bare})\s*[:：]
+        )""",
+        re.X | re.M,
+    )
+
+
+OFF = re.compile(r"\s*\([^()]*\)\s*$")
 AUTOMATIC = re.compile(r"(?:speaker|spk|spkr|sprecher|s)\s*0*(\d+)\Z")
 
 
@@ -88,6 +102,9 @@ class Roster:
             if seat is not None:
                 self.seats.setdefault(seat, set()).add(who)
         self.exact = exact
+        # No form is longer: a label with more words, or twice as many characters and a title, names nobody.
+        self.most_words = max([2, *(f.count(" ") + 1 for f in exact)]) + 1
+        self.labels = label_pattern(2 * max([10, *map(len, exact)]) + 16)
         self.long = [(form, who) for form, who in long.items() if len(form) >= 4]
         self.cache: dict[str, int | None] = {}
 
@@ -105,12 +122,12 @@ class Roster:
         if len(words) > 1 and words[0] in TITLES:
             words = words[1:]
             name = " ".join(words)
-        if not words or len(words) > 4:
+        if not words or len(words) > self.most_words:
             return None
         found = self.exact.get(name)
         if found is None and (m := AUTOMATIC.match(name)):
             found = self.seats.get(int(m[1]))
-        if found is None and len(words) <= 3:
+        if found is None:
             found = set()
             for form, who in self.long:
                 if one_slip(name, form):
@@ -144,7 +161,7 @@ def parts(text: str, roster: Roster | None) -> list[tuple[int | None, str]]:
     speaker: int | None = None
     begin = at = 0
     while roster is not None:
-        m = LABEL.search(text, at)
+        m = roster.labels.search(text, at)
         if m is None:
             break
         label = m[m.lastgroup]
@@ -175,15 +192,15 @@ def overlap(before: list[str], after: list[str]) -> int:
     return fail[-1] if joined else 0
 
 
-def without_overlap(before: str, after: str, least: int = OVERLAP_WORDS, window: int = 60) -> str:
-    """``after`` without the words a rolling caption repeats from the end of ``before``.
+def bare_words(text: str) -> list[str]:
+    """Words of a text as captions repeat them, whatever their case and punctuation."""
+    return [w.lower().strip(".,;:?!…\"") for w in text.split()]
 
-    Only the last ``window`` words can overlap; a caption line is far shorter.
-    """
-    a = [w.lower().strip(".,;:?!…\"") for w in before.split()[-window:]]
-    tokens = after.split()
-    n = overlap(a, [w.lower().strip(".,;:?!…\"") for w in tokens[:window]])
-    return " ".join(tokens[n:]) if n >= least else after
+
+def without_overlap(before: list[str], after: str, least: int = OVERLAP_WORDS) -> str:
+    """``after`` without the words a rolling caption repeats from the end of the caption before, given as it was shown."""
+    n = overlap(before, bare_words(after))
+    return " ".join(after.split()[n:]) if n >= least else after
 
 
 TURN = pa.schema(
@@ -197,78 +214,90 @@ TURN = pa.schema(
         ("start_ms", pa.int64()),
         ("end_ms", pa.int64()),
         ("text", pa.string()),
+        ("head", pa.string()),
+        ("tail", pa.string()),
         ("open_left", pa.bool_()),
         ("open_right", pa.bool_()),
     ]
 )
 TURN_DDL = (
     "job_id string, slice int, part int, speaker_id int, first_seg_id bigint, last_seg_id bigint, start_ms bigint, "
-    "end_ms bigint, text string, open_left boolean, open_right boolean"
+    "end_ms bigint, text string, head string, tail string, open_left boolean, open_right boolean"
 )
 
 
-def _scan(people: dict[int, list] | None, max_pause_ms: int | None):
+def _scan(people: Broadcast | None, max_pause_ms: int | None, texts: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId()
         rosters: dict = {}
         out: list[tuple] = []
-        job: str | None = None
-        begun = first_job = False
+        job = at = None
+        begun = fresh = False
         number = 0
         seen = None
-        turn: list | None = None  # speaker, first, last, start, end, texts, open_left
+        # speaker, first, last, start, end, texts, open_left, first caption, latest caption's words
+        turn: list | None = None
 
         def close(right: bool) -> None:
             nonlocal number
             if turn is not None and (turn[0] is not None or turn[6]):
-                speaker, first, last, s, e, texts, left = turn
-                out.append((job, at, number, speaker, first, last, s, e, " ".join(t for t in texts if t), left, right))
+                speaker, first, last, s, e, said, left, head, tail = turn
+                text = " ".join(t for t in said if t) if texts else None
+                edges = (head if left else None, " ".join(tail) if right and texts else None)
+                out.append((job, at, number, speaker, first, last, s, e, text, *edges, left, right))
                 number += 1
 
         for batch in batches:
-            names = ["job_id", "seg_id", "start_ms", "end_ms", "content", "series_id"]
+            names = ["job_id", RANGE, "seg_id", "start_ms", "end_ms", "content", "series_id"]
             columns = [batch.column(c).to_pylist() for c in names]
             columns.append(batch.column("roster").to_pylist() if people is None else [None] * batch.num_rows)
-            for j, seg, s, e, text, series, listed in zip(*columns, strict=True):
-                if not begun or j != job:
-                    close(False)
-                    turn, job, seen = None, j, None
-                    first_job, begun = not begun, True
-                    fresh = first_job  # nothing of this job has been met in this slice
+            for j, r, seg, s, e, text, series, listed in zip(*columns, strict=True):
+                if not begun or j != job or r != at:
+                    close(begun and at >= 0)
+                    turn, job, at, seen = None, j, r, None
+                    begun, fresh = True, r >= 0  # nothing of this range has been met
                 if seg == seen and seg is not None:
                     continue
                 seen = seg
                 if series not in rosters:
-                    rows = people.get(series) if people is not None else [tuple(x.values()) for x in listed or []]
+                    rows = people.value.get(series) if people is not None else [tuple(x.values()) for x in listed or []]
                     rosters[series] = Roster(rows) if rows else None
                 for who, words in parts(text, rosters[series]):
                     speaker = who if who is not None else (turn[0] if turn is not None else None)
                     same = turn is not None and speaker == turn[0]
                     if same and max_pause_ms is not None and s - turn[4] > max_pause_ms:
                         same = False
-                    said = clean_text(words)
+                    said = clean_text(words) if texts else ""
                     if same:
                         turn[2] = seg
                         turn[4] = max(turn[4], e)
-                        if turn[5] and said:
-                            said = without_overlap(turn[5][-1], said)
-                        turn[5].append(said)
+                        if said:
+                            turn[5].append(without_overlap(turn[8], said))
+                            turn[8] = bare_words(said)
                     else:
-                        # Words before the slice's first label may belong to whoever the label names.
+                        # Words before the range's first label may belong to whoever the label names.
                         unnamed = turn is not None and turn[0] is None and turn[6]
                         close(unnamed)
-                        turn = [speaker, seg, seg, s, e, [said], fresh or unnamed]
+                        turn = [speaker, seg, seg, s, e, [said], fresh or unnamed, said, bare_words(said)]
                         fresh = False
             if len(out) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TURN.types, strict=True)], schema=TURN)
                 out.clear()
-        close(True)
+        close(begun and at >= 0)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TURN.types, strict=True)], schema=TURN)
 
     return scan
 
 
+def _rolled(before: pd.Series, head: pd.Series, text: pd.Series) -> pd.Series:
+    """A fragment's text without what its first caption repeats of the fragment before."""
+    out = []
+    for b, h, t in zip(before, head, text, strict=True):
+        n = overlap(b.split(), bare_words(h)) if b and h else 0
+        out.append(" ".join(t.split()[n:]) if n >= OVERLAP_WORDS else t)
+    return pd.Series(out, dtype=object)
+
+
 def interview_speech(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     """Speech rows of interview jobs with their job's series."""
     chosen = (
@@ -287,7 +316,7 @@ def calibrated_pause(speech: DataFrame, share: float = 0.99) -> int | None:
     return row.p if row else None
 
 
-def speaker_turns(speech: DataFrame, speakers: DataFrame, max_pause_ms: int | None = None) -> DataFrame:
+def speaker_turns(speech: DataFrame, speakers: DataFrame, max_pause_ms: int | None = None, texts: bool = True, sizes: DataFrame | None = None) -> DataFrame:
     """Turns of each job in order: job_id, speaker_id, first_seg_id, last_seg_id, start_ms, end_ms, text.
 
     ``speech`` holds usable rows with content and series_id; other columns are ignored. A turn is the longest
@@ -298,27 +327,29 @@ def speaker_turns(speech: DataFrame, speakers: DataFrame, max_pause_ms: int | No
 
     Null contents, rows without a spoken word and repeated deliveries change nothing
     (null ids are not repeats of each other); equal times are
-    ordered by chunk_index, ord, seg_id; an empty input gives no row. Rolling captions that repeat the end of
-    the row before are cut from ``text`` only.
+    ordered by chunk_index, ord, seg_id; an empty input gives no row. What a rolling caption repeats of the end of
+    the caption before it in its turn, two words or more, is cut from ``text`` only; without ``texts`` no text is made.
 
-    Rows are sliced by range, so a job of any length spreads over many tasks; turns open at a slice's edge
-    are joined from at most three fragments a slice.
+    A job too large for a task is cut into ranges, so a job of any length spreads over many tasks; turns open at
+    a range's edge are joined from at most three fragments a range. ``sizes`` is where jobs are counted for that.
     """
-    columns = [*ORDER, "end_ms", "content", "series_id"]
+    columns = [*ENTITY, *ORDER, "end_ms", "content", "series_id"]
     few = speakers.select("speaker_id", "series_id", "display_name", "role", "seat")
     known = few.limit(ROSTER_ROWS + 1).collect()
-    people: dict[int, list] | None = None
+    people: Broadcast | None = None
     if len(known) <= ROSTER_ROWS:
-        people = {}
+        by_series: dict[int, list] = {}
         for r in known:
             if r.series_id is not None and r.speaker_id is not None:
-                people.setdefault(r.series_id, []).append((r.speaker_id, r.display_name, r.role, r.seat))
+                by_series.setdefault(r.series_id, []).append((r.speaker_id, r.display_name, r.role, r.seat))
+        people = speech.sparkSession.sparkContext.broadcast(by_series)
     else:
         who = F.struct("speaker_id", "display_name", "role", "seat")
         listed = few.groupBy(F.col("series_id").alias("__series")).agg(F.collect_list(who).alias("roster"))
         speech = speech.join(listed, F.col("series_id") == F.col("__series"), "left")
         columns = [*columns, "roster"]
-    found = cut(slices(speech.where(F.col("content").isNotNull()).select(*columns), ORDER).mapInArrow(_scan(people, max_pause_ms), TURN_DDL))
+    spoken = speech.where(F.col("content").isNotNull()).select(*columns)
+    found = cut(slices(spoken, ENTITY, ORDER, sizes).mapInArrow(_scan(people, max_pause_ms, texts), TURN_DDL))
     keep = ["job_id", "speaker_id", "first_seg_id", "last_seg_id", "start_ms", "end_ms", "text"]
     whole = found.where("not open_left and not open_right and speaker_id is not null").select(keep)
     w = Window.partitionBy("job_id").orderBy("slice", "part")
@@ -331,7 +362,11 @@ def speaker_turns(speech: DataFrame, speakers: DataFrame, max_pause_ms: int | No
     if max_pause_ms is not None:
         joined &= F.col("start_ms") - F.lag("end_ms").over(w) <= max_pause_ms
     numbered = filled.withColumn("fresh", (~F.coalesce(joined, F.lit(False))).cast("int")).withColumn("n", F.sum("fresh").over(w))
+    if texts:
+        before = F.when(F.col("fresh") == 0, F.lag("tail").over(w))
+        numbered = numbered.withColumn("before", before).withColumn("text", F.pandas_udf(_rolled, "string")("before", "head", "text"))
     at = F.struct("slice", "part")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("slice", "part", "text"))), lambda x: x["text"])
     stitched = (
         numbered.groupBy("job_id", "n")
         .agg(
@@ -340,7 +375,7 @@ def speaker_turns(speech: DataFrame, speakers: DataFrame, max_pause_ms: int | No
             F.max_by("last_seg_id", at).alias("last_seg_id"),
             F.min("start_ms").alias("start_ms"),
             F.max("end_ms").alias("end_ms"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "part", "text"))), lambda x: x["text"]), " ").alias("text"),
+            F.array_join(F.filter(said, lambda t: t != ""), " ").alias("text") if texts else F.lit(None).cast("string").alias("text"),
         )
         .select(keep)
     )

@@ -15,7 +15,7 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def brute(rows, edits=2):
+def brute(rows, edits=2, gap=None):
     seen, groups = set(), {}
     for r in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2], r[4], r[5], r[6])):
         if r[6] in seen or r[7] is None or not r[7].strip():
@@ -26,7 +26,7 @@ def brute(rows, edits=2):
     for (job, kind), rs in groups.items():
         run = [rs[0]]
         for a, b in zip(rs, rs[1:] + [None], strict=True):
-            if b is not None and levenshtein(letters(a[7]), letters(b[7])) <= edits:
+            if b is not None and levenshtein(letters(a[7]), letters(b[7])) <= edits and (gap is None or b[2] - a[3] <= gap):
                 run.append(b)
             else:
                 if len(run) > 1:
@@ -61,8 +61,11 @@ def test_runs_across_slices(spark, sliced):
         for i in range(900)
     ]
     rows += rows[::7]
+    df = spark.createDataFrame(rows, SCHEMA)
     with sliced(7):
-        assert found(collapse_runs(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+        assert found(collapse_runs(df)) == brute(rows)
+        for gap in (0, 1):
+            assert found(collapse_runs(df, max_gap_ms=gap)) == brute(rows, gap=gap)
 
 
 def test_one_run_over_all_slices(spark, sliced):
@@ -76,7 +79,8 @@ def test_time_gap_and_interviews(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert found(collapse_runs(df, max_gap_ms=10)) == {("j", "speech", 1, 2, 2, 0, 8)}
     jobs = spark.createDataFrame([("j", "interview"), ("j", "interview"), (None, "interview")], "id string, profile string")
-    assert without_interview_speech(collapse_runs(df), jobs).count() == 0
+    assert without_interview_speech(df, jobs).count() == 0
+    assert without_interview_speech(spark.createDataFrame([(None, *rows[0][1:]), ("j", "sound", *rows[0][2:])], SCHEMA), jobs).count() == 2
 
 
 def test_null_ids_are_not_repeats(spark):

@@ -1,6 +1,6 @@
 import random
 
-from segloom.llm.turns import Roster, clean_text, overlap, parts, speaker_turns, without_overlap
+from segloom.llm.turns import Roster, bare_words, clean_text, overlap, parts, speaker_turns, without_overlap
 
 PEOPLE = [(1, "Anna Bérgman", "Host", 1), (2, "Otto Klein", "Guest", 2), (3, "Mira Stein", "Engineer", 3)]
 SPEAKERS = [(a, 9, n, r, s) for a, n, r, s in PEOPLE]
@@ -36,8 +36,50 @@ def test_ambiguous_names_name_nobody():
 def test_text_is_cleaned():
     assert clean_text("Um, so [laughs] it er was, uh... good (coughs).") == "so it was, good."
     assert overlap("a b c d".split(), "c d e".split()) == 2
-    assert without_overlap("we went to the old mill", "to the old mill and back") == "and back"
-    assert without_overlap("we went", "to the mill") == "to the mill"
+    assert without_overlap(bare_words("we went to the old mill"), "To the old mill, and back") == "and back"
+    assert without_overlap(bare_words("we went"), "to the mill") == "to the mill"
+    assert without_overlap(bare_words("we went"), "went away") == "went away"
+    long = "one two three four " * 100
+    assert without_overlap(bare_words(long + "start"), long + "start and end") == "and end"
+
+
+def test_long_labels():
+    long_role = Roster([(1, "Anna Berg", "Second deputy keeper of the old harbour records", 1), (2, "Otto Klein", None, 2)])
+    of = lambda t: [p for p, _ in parts(t, long_role)]
+    assert of("Second deputy keeper of the old harbour records: so it was.") == [1]
+    assert of("Dr. Second Deputy Keeper of the Old Harbour Records (from the studio beside the harbour, where it was loud that evening and long after): yes.") == [1]
+    assert of(f"Otto ({'very ' * 40}far away): yes. [Anna Berg{' ' * 90}] no.") == [2, 1]
+    assert of("Otto and all of his many other friends from the old harbour said this: yes.") == [None]
+
+
+def captioned(lines, every=10):
+    return [("j", every * i, every * i + 9, 0, i, i, ("Anna: " if i == 0 else "") + t, 9) for i, t in enumerate(lines)]
+
+
+ROLLING = {
+    "growing": (["we start the", "we start the motor now", "We start the motor now, and wait"], "we start the motor now and wait"),
+    "repeated": (["the mill is old"] * 3 + ["the mill is old and dry"], "the mill is old and dry"),
+    "two words": (["we went to the old mill", "old mill and then", "and then we came back"], "we went to the old mill and then we came back"),
+    "none": (["we went", "to the mill"], "we went to the mill"),
+}
+
+
+def rolled(words, width, step):
+    """Captions of ``width`` words that move on by ``step``, as a rolling display shows them."""
+    return [" ".join(words[max(0, i - width) : i]) for i in range(step, len(words) + 1, step)]
+
+
+def test_rolling_captions(spark, sliced):
+    speakers = spark.createDataFrame(SPEAKERS, "speaker_id int, series_id int, display_name string, role string, seat int")
+    text_of = lambda rows: [r.text for r in speaker_turns(spark.createDataFrame(rows, SCHEMA), speakers).collect()]
+    for name, (lines, want) in ROLLING.items():
+        assert text_of(captioned(lines)) == [want], name
+    words = [f"w{i}" for i in range(300)]
+    rows = captioned(rolled(words, 8, 3)) + [("k", *r[1:6], r[6].replace("w", "v"), 9) for r in captioned([" ".join(words[:5])] + rolled(words, 8, 1)[5:])]
+    want = {" ".join(words), " ".join(words).replace("w", "v")}
+    for n, size in ((1, 1000), (9, 20), (6, 7)):
+        with sliced(n, size):
+            assert set(text_of(rows)) == want, (n, size)
 
 
 def brute(rows):
