@@ -64,17 +64,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Share of repeated words of every content, with the decision under certified cutoffs."""
-    rows = load(spark, d, "segments")
-    cutoffs = repetition.choose_cutoffs(repetition.holdout(rows))
-    return repetition.measured(rows, {k: v[0] for k, v in cutoffs.items()})
+    """Share of repeated words of every content."""
+    return repetition.measured(load(spark, d, "segments"))
 
 
 def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
-    """Certified cutoff of each stratum with its bound."""
-    found = repetition.choose_cutoffs(repetition.holdout(load(spark, d, "segments")))
-    rows = [(k, float(v[0]), float(v[1]), int(v[2])) for k, v in found.items()]
-    return spark.createDataFrame(rows, "stratum string, cutoff double, bound double, clean_texts bigint")
+    """Certified cutoff of each stratum with its bound, and what it did to all candidates."""
+    return repetition.risk(load(spark, d, "segments"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -181,6 +177,17 @@ select timeline_id, seg_pos, case when {_FITS.format(units='paragraphs')} then '
 union all
 select timeline_id, -1 as seg_pos, 'segment' as boundary from timelines
 where list_sum(list_transform(segments, lambda s: coalesce(length(s.content), 0))) > 25000"""
+_SHARES_SQL = r"""with w as (
+  select distinct seg_id, lower(trim(segment_type)) as stratum, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from segments where content is not null
+), g as (
+  select seg_id, i, array_to_string(w[i:i + 4], ' ') as g from (select seg_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 6)
+), again as (
+  select seg_id, i from (select *, min(i) over (partition by seg_id, g) as first from g) where i > first
+), covered as (
+  select distinct seg_id, unnest(range(i, i + 5)) as p from again
+), n as (select seg_id, count(*) as n from covered group by seg_id)
+select seg_id, stratum, len(w.w) as words, case when len(w.w) = 0 then 0.0 else 1.0::double - len(list_distinct(w.w)) / len(w.w) end as score,
+  case when n.n is null then 0.0 else n.n / len(w.w) end as share from w left join n using (seg_id)"""
 _SHARE_SQL = r"""with w as (
   select distinct seg_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from segments where content is not null
 ), g as (
@@ -194,6 +201,7 @@ select seg_id from n join w using (seg_id) where n.n >= 0.4 * len(w.w)"""
 ORACLE: dict[str, str] = {
     "p2_found": _PIECES_SQL,
     "p3_found": _SHARE_SQL,
+    "p3_shares": _SHARES_SQL,
     "p4_found": _runs_sql("") + "select job_id, segment_type, first_seg_id, last_seg_id from kept",
     "p4_events": _runs_sql("and start_ms - lag(end_ms) over w <= 60000") + "select *, end_ms - start_ms as duration_ms from kept",
 }

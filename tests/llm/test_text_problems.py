@@ -47,10 +47,37 @@ def test_repetitive_rows(spark):
     rows = [(1, "visual", "p", loop, "a"), (1, "visual", "p", loop, "b"), (2, None, None, "One two three four five six.", "a"), (3, "speech", "p", None, "a"), (4, "speech", "p", "", "a"), (5, "speech", "p", "very " * 40_000, "a")]
     df = spark.createDataFrame(rows, SEGMENTS)
     assert sorted(r.seg_id for r in repetition.repetitive(df).collect()) == [1, 5]
-    assert repetition.measured(df, {}).count() == 4
+    assert repetition.measured(df).count() == 4
     assert repetition.repetitive(df.limit(0)).count() == 0
 
 
+def test_certified_cutoffs_decide_what_is_measured(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(1500):  # clean texts of few words, and broken ones of which each is said again and again
+        if i % 3:
+            few = rnd.sample(words, 9)
+            rows.append((i, rnd.choice([" Visual", "speech"]), "p", " ".join(few + rnd.sample(few, 7)), "a"))
+        else:
+            rows.append((i, "visual", "p", " ".join(rnd.sample(words, 6) * rnd.randint(3, 6)), "a"))
+    df = spark.createDataFrame(rows + rows[:40], SEGMENTS)
+    truth = {r[0] for r in rows if repetition.repeated_share(word_key(r[3])) >= 0.4}
+    found = {r.seg_id: r for r in repetition.repetitive(df).collect()}
+    assert set(found) == truth
+    cutoffs = {r.stratum: r for r in repetition.risk(df).collect()}
+    visual, speech = cutoffs["visual"], cutoffs["speech"]
+    assert visual.cutoff < 1 and visual.bound <= repetition.ALPHA and visual.rejected == 500 and visual.wrongly_rejected == 0
+    assert (speech.rejected, speech.wrongly_rejected) == (0, 0) and visual.clean > 200
+    assert all(r.decision == "rejected" and r.share is None for r in found.values())
+    # Other cutoffs change which rows the score settles and which are measured.
+    for cutoff, settled in ((0.0, True), (math.inf, False)):
+        other = repetition.repetitive(df, cutoffs={"visual": cutoff, "speech": math.inf}).collect()
+        assert {r.decision for r in other if r.stratum == "visual"} == {"rejected" if settled else "undecided"}
+        assert all((r.share is None) == settled for r in other if r.stratum == "visual")
+        assert ({r.seg_id for r in other} == truth) == (not settled)
+
+
 def check_pieces(pieces, n, limit, overlap):
     assert pieces[0][0] == 0 and pieces[-1][1] == n
     for (a, b, _), (c, d, _) in itertools.pairwise(pieces):
