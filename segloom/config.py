@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import os
 import re
 import tomllib
@@ -13,6 +14,7 @@ from typing import Any, TypeVar
 from segloom.errors import ConfigError
 
 HOME = ".segloom"
+#: The defaults below are fixed values.
 
 
 @dataclass
@@ -84,6 +86,7 @@ class Media:
 
 @dataclass
 class Speech:
+    path: str = "whisper-cli"
     model_path: str = "models/ggml-large-v3-turbo.bin"
     language: str = "en"
     n_threads: int = 8
@@ -108,7 +111,8 @@ class Vision:
 
 @dataclass
 class Processing:
-    temp_dir: str = "/tmp/segloom-jobs"
+    #: A folder that all executors share; None takes one beside the session's checkpoints.
+    temp_dir: str | None = None
     results_dir: str = field(default_factory=lambda: str(Path.home() / HOME / "server" / "results"))
     max_upload_bytes: int = 4_294_967_296
     cleanup_checkpoints: bool = True
@@ -146,14 +150,15 @@ class ServerConfig:
         positive(self, "whisper.n_threads")
         filled(self, "ollama.endpoint", "ollama.model")
         positive(self, "ollama.timeout_seconds", "vision.fps", "vision.max_tokens", "vision.max_frames_per_request")
-        filled(self, "processing.temp_dir", "processing.results_dir", "ytdlp.path")
+        if self.processing.temp_dir is not None:
+            filled(self, "processing.temp_dir")
+        filled(self, "processing.results_dir", "ytdlp.path")
         positive(self, "ytdlp.max_fps", "ytdlp.timeout_seconds")
 
-    def fingerprint(self) -> str:
-        """What a chunk's rows depend on besides the recording; part of every checkpoint's key."""
-        import hashlib
-
-        parts = (self.ffmpeg.chunk_duration_secs, self.whisper, self.ollama.model, self.ollama.default_prompt, self.vision)
+    def fingerprint(self, template: str = "") -> str:
+        """What a chunk's rows depend on besides the recording, the prompt's text included; part of every checkpoint's key."""
+        cut = (self.ffmpeg.chunk_duration_secs, self.ffmpeg.frame_format, self.ffmpeg.frame_quality)
+        parts = (cut, self.whisper, self.ollama.model, self.ollama.num_ctx, self.vision, template)
         return hashlib.sha256(repr(parts).encode()).hexdigest()[:16]
 
 
@@ -176,7 +181,7 @@ def positive(config: Any, *keys: str) -> None:
 
 
 C = TypeVar("C")
-_KINDS = {"str": str, "int": int, "float": (int, float), "bool": bool, "str | None": str}
+_KINDS = {"str": str, "int": int, "float": (int, float), "bool": bool, "str | None": (str, type(None))}
 
 
 def from_table(kind: type[C], table: dict[str, Any], where: str = "") -> C:

@@ -16,11 +16,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom import models
+from segloom import errors, models
 from segloom.config import ServerConfig, prompt_template, resolve_config
 from segloom.errors import ApiError, Cancelled, EngineError, MediaError
+from segloom.functions.timecode import format_timestamp
 from segloom.operators import chunking
-from segloom.operators.segments import collect_timelines, merge_timeline
+from segloom.operators.resume import missing_chunks
+from segloom.operators.segments import collect_timelines, contexts, merge_timeline, transcripts
+from segloom.runtime import shared_folder, ship
 from segloom.sources import media, store
 
 CANCELLED = "cancelled by user"
@@ -38,11 +41,26 @@ def stage(name: str, job: str) -> Iterator[None]:
 
 
 def artifact_batches(artifacts: DataFrame, config: ServerConfig) -> DataFrame:
-    """Frame batches of extracted chunks with their paths in order."""
+    """Batches of each chunk's frames in order: their times and paths."""
     sized = artifacts.withColumn("n", F.size("frame_paths").cast("bigint"))
     batched = chunking.frame_batches(sized, config.vision.fps, config.vision.max_frames_per_request, frames="n")
     paths = F.slice("frame_paths", F.col("first_frame").cast("int") + 1, F.col("frames").cast("int"))
-    return batched.select("job_id", "chunk_index", "batch", "batch_start", "batch_end", paths.alias("paths"))
+    one = F.struct("batch", format_timestamp(F.col("batch_start")).alias("start"), format_timestamp(F.col("batch_end")).alias("end"), paths.alias("paths"))
+    return batched.groupBy("job_id", "chunk_index").agg(F.array_sort(F.collect_list(one)).alias("batches"))
+
+
+def work_list(todo: DataFrame, artifacts: DataFrame, speech: DataFrame, old: DataFrame, config: ServerConfig) -> DataFrame:
+    """A row for each chunk left to do, see :func:`models.describe`.
+
+    ``old`` holds the rows of chunks that are reused; the context that one of them hands on to the chunk after it comes along.
+    """
+    keys = ["job_id", "chunk_index"]
+    one = F.struct("ord", "type", "start", "end", "content")
+    heard = speech.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("speech"))
+    handed = contexts(old, ["chunk_index"]).select((F.col("chunk_index") + 1).alias("chunk_index"), F.col("context").alias("carried"))
+    spoken = transcripts(speech, keys)
+    rows = todo.select(*keys).join(heard, keys, "left").join(spoken, keys, "left").join(artifact_batches(artifacts, config), keys, "left")
+    return rows.join(handed, "chunk_index", "left").select(*keys, "speech", "transcript", "batches", "carried")
 
 
 def process_video(
@@ -60,13 +78,16 @@ def process_video(
     """Timeline of one recording.
 
     Checkpoints are keyed by the recording's content and the settings its rows depend on, so a new job over the
-    same recording resumes; chunks with a checkpoint are left out before anything is extracted. ``force`` starts anew.
+    same recording resumes; chunks with a checkpoint are left out before anything is extracted, and each other chunk
+    gets its own as soon as it is described. ``force`` starts anew.
     """
     config.validate()
     if not os.path.exists(path):
         raise MediaError(f"file not found: {path}")
-    root = config.processing.temp_dir
-    key = store.checkpoint_key(content_hash(path), config.fingerprint())
+    ship(spark)
+    root = job_root(spark, config)
+    template = prompt_template(config.ollama.prompt_template_path if Path(config.ollama.prompt_template_path or "").exists() else None, config.ollama.default_prompt)
+    key = store.checkpoint_key(content_hash(path), config.fingerprint(template))
     if force:
         store.clear_checkpoints(root, key)
 
@@ -75,54 +96,50 @@ def process_video(
             raise Cancelled("")
 
     check()
-    recordings = spark.createDataFrame([(job, path, os.path.join(root, job))], "job_id string, path string, job_dir string")
-    probed = media.probe_durations(recordings.select("path"), config.ffmpeg, run).first()
-    if probed is None or probed.duration_seconds is None:
-        raise MediaError((probed.error if probed else None) or "no duration")
-    plan = chunking.chunk_plan(recordings.withColumn("duration_seconds", F.lit(probed.duration_seconds)), size=config.ffmpeg.chunk_duration_secs)
-    old = store.load_checkpoints(spark, root, key).withColumn("job_id", F.lit(job))
-    todo = plan.join(old.select("chunk_index").distinct(), "chunk_index", "left_anti")
-    artifacts = media.extract_artifacts(todo, config.ffmpeg, config.vision, run).join(
-        plan.select("chunk_index", "start_seconds", "end_seconds"), "chunk_index"
-    )
-    artifacts = artifacts.persist()  # the extraction has effects and must run once
-    try:
-        with stage("extraction", job):
-            bad = artifacts.where("error is not null").select("error").first()
-        if bad is not None:
-            raise MediaError(bad.error)
+    with stage("pipeline", job):
+        where = os.path.join(root, job)
+        recordings = spark.createDataFrame([(job, path, where)], "job_id string, path string, job_dir string")
+        probed = media.probe_durations(recordings.select("path"), config.ffmpeg, run).first()
+        if probed is None or probed.duration_seconds is None:
+            raise MediaError((probed.error if probed else None) or "no duration")
+        plan = chunking.chunk_plan(recordings.withColumn("duration_seconds", F.lit(probed.duration_seconds)), size=config.ffmpeg.chunk_duration_secs)
+        done = store.checkpoints(spark, root, key)
+        todo = missing_chunks(plan, done, ["chunk_index"])
+        extracted = media.extract_artifacts(todo, config.ffmpeg, config.vision, run)
+        artifacts = extracted.join(todo.select("chunk_index", "start_seconds", "end_seconds"), "chunk_index").persist()  # effects, once
+        try:
+            with stage("extraction", job):
+                bad = artifacts.where("error is not null").select("error").first()
+            if bad is not None:
+                raise MediaError(bad.error)
+            media.write_manifest(artifacts, where)
+            check()
+            speech = models.transcribe(artifacts, transcriber).persist()
+            try:
+                work = work_list(todo, artifacts, speech, store.load_checkpoints(spark, root, key), config)
+                with stage("speech and vision", job):
+                    report = models.describe(work, describer, template, root, key).collect()  # a line a chunk
+            finally:
+                speech.unpersist()
+        finally:
+            artifacts.unpersist()
+        for r in sorted(report, key=lambda r: r.chunk_index):
+            if r.kind is not None:
+                raise getattr(errors, r.kind)(r.error)
+            log.info("%s: chunk %d took %.1f s, %d frames, %d batches, %d segments", job, r.chunk_index, r.seconds, r.frames, r.batches, r.segments)
         check()
-        speech = models.transcribe(artifacts, transcriber).persist()
-        template = prompt_template(config.ollama.prompt_template_path if Path(config.ollama.prompt_template_path or "").exists() else None, config.ollama.default_prompt)
-        batches = artifact_batches(artifacts, config).mapInArrow(
-            models.frame_images,
-            "job_id string, chunk_index bigint, batch bigint, batch_start double, batch_end double, images array<string>",
+        rows = store.load_checkpoints(spark, root, key).select(
+            F.lit(job).alias("job_id"),
+            F.lit(0).alias("seg_id"),
+            "chunk_index",
+            "ord",
+            "type",
+            F.col("start").alias("start_time"),
+            F.col("end").alias("end_time"),
+            "content",
         )
-        seen = models.describe(batches, speech, describer, template)
-        check()
-        after = F.lit(1 << 20)
-        with stage("speech and vision", job):
-            new = speech.unionByName(seen.withColumn("ord", F.col("ord") + after)).collect()  # one recording's rows
-        check()
-    finally:
-        artifacts.unpersist()
-    by_chunk: dict[int, list] = {r.chunk_index: [] for r in todo.select("chunk_index").collect()}
-    for r in sorted(new, key=lambda r: (r.chunk_index, r.ord)):
-        by_chunk.setdefault(r.chunk_index, []).append({"type": r.type, "start": r.start, "end": r.end, "content": r.content})
-    for index, rows in by_chunk.items():
-        store.save_checkpoint(root, key, index, rows)
-    rows = store.load_checkpoints(spark, root, key).select(
-        F.lit(job).alias("job_id"),
-        F.lit(0).alias("seg_id"),
-        "chunk_index",
-        "ord",
-        "type",
-        F.col("start").alias("start_time"),
-        F.col("end").alias("end_time"),
-        "content",
-    )
-    with stage("merge", job):
-        merged = collect_timelines(merge_timeline(rows)).first()
+        with stage("merge", job):
+            merged = collect_timelines(merge_timeline(rows)).first()
     segments = [s.asDict() for s in merged.segments] if merged else []
     timeline = {"source": source_name or os.path.basename(path) or path, "duration_seconds": probed.duration_seconds, "segments": segments}
     if config.processing.cleanup_checkpoints:
@@ -130,6 +147,23 @@ def process_video(
     return timeline
 
 
+def job_root(spark: SparkSession, config: ServerConfig) -> str:
+    """The folder of checkpoints, extracted media and uploads, shared by all executors."""
+    return config.processing.temp_dir or shared_folder(spark)
+
+
+def processor(run: Callable[..., str] = media.run_tool) -> Callable[..., dict]:
+    """:func:`process_video` over the configured recogniser's command and model server."""
+
+    def process(spark: SparkSession, config: ServerConfig, path: str, job: str, **options) -> dict:
+        speech, server, vision = config.whisper, config.ollama, config.vision
+        hear = lambda: models.CommandRecogniser(speech, run)
+        see = lambda: models.HttpDescriber(server.endpoint, server.model, vision.max_tokens, server.num_ctx, server.timeout_seconds)
+        return process_video(spark, config, path, job, hear, see, run=run, **options)
+
+    return process
+
+
 def content_hash(path: str) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as f:
@@ -158,18 +192,21 @@ class Engine:
         self,
         spark: SparkSession,
         config: ServerConfig,
-        process: Callable[..., dict],
+        process: Callable[..., dict] | None = None,
         download: Callable[..., tuple[str, str]] = media.download_video,
         profiles: Path | None = None,
     ):
-        self.spark, self.config, self.process, self.download, self.profiles = spark, config, process, download, profiles
+        self.spark, self.config, self.process, self.download, self.profiles = spark, config, process or processor(), download, profiles
+        self.root = job_root(spark, config)
         self.jobs: dict[str, Job] = {}
-        self.results: dict[str, dict] = {}
         self.lock = threading.Lock()
         self.slots = threading.Semaphore(config.server.max_concurrent_jobs)
-        for r in store.persisted_results(spark, config.processing.results_dir).collect():
+        # Only names are loaded; a timeline is read when it is asked for.
+        for r in store.persisted_results(spark, config.processing.results_dir).select("id", "source").toLocalIterator():
             self.jobs[r.id] = Job(r.id, r.source, "completed")
-            self.results[r.id] = {"source": r.source, "duration_seconds": r.duration_seconds, "segments": [s.asDict() for s in r.segments]}
+        self.loaded = len(self.jobs)
+        if self.loaded:
+            log.info("loaded %d completed results", self.loaded)
 
     def _config(self, profile: str | None) -> ServerConfig:
         try:
@@ -195,7 +232,6 @@ class Engine:
                 with self.lock:  # the result is there before the status says so
                     if job.status != "failed":
                         job.source = timeline["source"]
-                        self.results[job.id] = timeline
                         job.status = "completed"
             except Exception as e:
                 self._move(job, "failed", str(e))
@@ -225,15 +261,17 @@ class Engine:
             ),
         )
 
-    def upload(self, filename: str, data: bytes, force: bool = False, profile: str | None = None) -> Job:
+    def upload_path(self) -> Path:
+        """A fresh place for an uploaded recording."""
+        where = Path(self.root) / f"upload-{uuid.uuid4()}"
+        where.mkdir(parents=True)
+        return where / "input.mp4"
+
+    def upload(self, filename: str, path: str | Path, force: bool = False, profile: str | None = None) -> Job:
+        """A job over a recording that was uploaded to ``path`` under the name ``filename``."""
         if not filename.endswith(".mp4"):
             raise ApiError(400, "uploaded file must be an mp4 file")
-        if len(data) > self.config.processing.max_upload_bytes:
-            raise ApiError(400, "upload is too large")
-        where = Path(self.config.processing.temp_dir) / f"upload-{uuid.uuid4()}"
-        where.mkdir(parents=True)
-        (where / "input.mp4").write_bytes(data)
-        return self.submit(str(where / "input.mp4"), force, profile, name=os.path.basename(filename))
+        return self.submit(str(path), force, profile, name=os.path.basename(filename))
 
     def submit_url(self, url: str, force: bool = False, profile: str | None = None, max_resolution: str | None = None, max_fps: int | None = None) -> Job:
         if not url:
@@ -241,7 +279,7 @@ class Engine:
         config = self._config(profile)
 
         def work(job: Job) -> dict:
-            path, title = self.download(config.ytdlp, url, os.path.join(config.processing.temp_dir, job.id), max_resolution, max_fps)
+            path, title = self.download(config.ytdlp, url, os.path.join(self.root, job.id), max_resolution, max_fps)
             return self.process(self.spark, config, path, job.id, force=force, source_name=f"{title}.mp4", cancelled=job.stop.is_set)
 
         return self._start(url, work)
@@ -262,9 +300,10 @@ class Engine:
         job = self._job(job_id)
         if job.status != "completed":
             raise ApiError(409, f"job is {job.status}")
-        if job_id not in self.results:
+        found = store.stored_result(self.config.processing.results_dir, job_id)
+        if found is None:
             raise ApiError(500, "result missing")
-        return self.results[job_id]
+        return found
 
     def cancel(self, job_id: str) -> dict:
         job = self._job(job_id)
@@ -281,48 +320,27 @@ class Engine:
             self.cancel(job_id)
         return len(open_jobs)
 
-    def wait(self, job_id: str, interval: float = 3, timeout: float = 1800, say: Callable[[str], None] = lambda s: None) -> dict:
-        """Waits, then asks, until the job has ended; tells each change of status."""
-        began, last = time.monotonic(), None
-        while True:
-            time.sleep(interval)
-            if time.monotonic() - began > timeout:
-                raise ApiError(500, f"timed out after {timeout} s")
-            job = self.status(job_id)
-            if job["status"] != last:
-                last = job["status"]
-                say(last)
-            if last in ("completed", "failed"):
-                return job
-
-    def health(self, tools: dict[str, Callable[[], str | None]] | None = None) -> dict:
-        """Versions of the tools, and ok only if all of them answer."""
-        tools = tools if tools is not None else {
-            "ffmpeg": lambda: media.tool_version([self.config.ffmpeg.path, "-version"]),
-            "ffprobe": lambda: media.tool_version([self.config.ffmpeg.probe_path, "-version"]),
-            "ollama": lambda: models.model_server_version(self.config.ollama.endpoint, self.config.ollama.model),
-            "ytdlp": lambda: media.tool_version([self.config.ytdlp.path, "--version"]),
+    def health(self, run: Callable[[list[str], float], str] = media.run_tool, get: Callable[[str], dict] | None = None) -> dict:
+        """Versions of the tools or why there are none, and ok only if all of them answer."""
+        c = self.config
+
+        def version(*command: str) -> str:
+            return run(list(command), 30).partition("\n")[0].strip()
+
+        def tried(ask: Callable[[], object]) -> object:
+            try:
+                return ask()
+            except EngineError as e:
+                return {"error": str(e)}
+
+        def model_server() -> str:
+            models.check_model_server(c.ollama.endpoint, c.ollama.model, get)
+            return "ok"
+
+        found = {
+            "ffmpeg": tried(lambda: {"ffmpeg_version": version(c.ffmpeg.path, "-version"), "ffprobe_version": version(c.ffmpeg.probe_path, "-version")}),
+            "ollama": tried(model_server),
+            "ytdlp": tried(lambda: {"version": version(c.ytdlp.path, "--version")}),
         }
-        found = {name: ask() for name, ask in tools.items()}
-        return {"status": "ok" if all(v is not None for v in found.values()) else "degraded", **found}
-
-
-def process_directory(engine: Engine, directory: str, cache: str | Path, **options) -> DataFrame:
-    """Processes every recording of a folder that is not cached yet; a failure does not stop the others."""
-    rows = []
-    paths = [r.path.removeprefix("file:") for r in media.recordings(engine.spark, directory).collect()]
-    for path in paths:
-        source = os.path.realpath(path)
-        if store.cache_lookup(cache, source) is not None and not options.get("force"):
-            rows.append((path, True, True, None))
-            continue
-        try:
-            job = engine.submit(path, force=bool(options.get("force")), profile=options.get("profile"))
-            ended = engine.wait(job.id, options.get("interval", 3), options.get("timeout", 1800))
-            if ended["status"] != "completed":
-                raise ApiError(500, ended.get("error") or "failed")
-            store.cache_store(cache, source, None, engine.result(job.id))
-            rows.append((path, True, False, None))
-        except EngineError as e:
-            rows.append((path, False, False, str(e)))
-    return engine.spark.createDataFrame(rows, "path string, ok boolean, cached boolean, error string")
+        good = all(not (isinstance(v, dict) and "error" in v) for v in found.values())
+        return {"status": "ok" if good else "degraded", **found}

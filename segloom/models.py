@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import base64
 import json
+import logging
+import os
+import time
 import urllib.error
 import urllib.request
+import wave
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.errors import ClientError, VisionError
+from segloom.config import Speech
+from segloom.errors import ClientError, EngineError, MediaError, SpeechError, VisionError
 from segloom.functions.timecode import format_timestamp
 from segloom.operators.chunking import to_global
 from segloom.operators.segments import classify
+from segloom.sources.media import decode_wav, run_tool
 
+log = logging.getLogger("segloom")
 TRIES = 3
 THINK_END = "</think>"
 
@@ -46,9 +53,10 @@ def transcribe(artifacts: DataFrame, make: Callable[[], Transcriber]) -> DataFra
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                model = model or make()
-                for k, (t0, t1, text) in enumerate(model.transcribe(r.audio_path)):
-                    rows.append((r.job_id, r.chunk_index, k, t0, t1, text, r.start_seconds))
+                began, model = time.monotonic(), model or make()
+                heard = model.transcribe(r.audio_path)
+                rows += [(r.job_id, r.chunk_index, k, t0, t1, text, r.start_seconds) for k, (t0, t1, text) in enumerate(heard)]
+                log.info("%s: chunk %d speech took %.1f s, %d segments", r.job_id, r.chunk_index, time.monotonic() - began, len(heard))
             yield pd.DataFrame(rows, columns=["job_id", "chunk_index", "ord", "t0", "t1", "text", "start_seconds"])
 
     schema = "job_id string, chunk_index bigint, ord int, t0 bigint, t1 bigint, text string, start_seconds double"
@@ -104,50 +112,57 @@ def _context(spoken: list[str], seen: str | None) -> str:
     return " ".join(parts)
 
 
-def describe(batches: DataFrame, speech: DataFrame, make: Callable[[], Describer], template: str) -> DataFrame:
-    """Visual rows: job_id, chunk_index, ord, type, start, end, content.
+REPORT = "job_id string, chunk_index bigint, frames int, batches int, segments int, seconds double, kind string, error string"
+REPORT_SCHEMA = pa.schema(
+    [("job_id", pa.string()), ("chunk_index", pa.int64()), ("frames", pa.int32()), ("batches", pa.int32()), ("segments", pa.int32()), ("seconds", pa.float64()), ("kind", pa.string()), ("error", pa.string())]
+)
 
-    ``batches`` holds job_id, chunk_index, batch, batch_start, batch_end, images. A chunk's prompt holds what the model
-    said of the chunk before, so chunks of one job run in order in one task and jobs run in parallel; that
-    is the model's own constraint, and a job holds one row per batch of frames.
+
+def describe(work: DataFrame, make: Callable[[], Describer], template: str, root: str, key: str) -> DataFrame:
+    """Describes chunks and writes each one's rows as its checkpoint as soon as they are whole; gives a report a chunk.
+
+    ``work`` has a row for each chunk left to do: job_id, chunk_index, speech (its rows), transcript, batches (their times and
+    the paths of their frames) and carried, the context of the chunk before where that one was reused. A chunk's
+    prompt holds what was said and seen in the chunk before, so a job's chunks run in order in one task and
+    jobs run in parallel; that is the model's own constraint. Images are read batch by batch. A task that
+    runs again takes the chunks it has finished from their checkpoints. An error of the model ends the job's
+    report with it; anything else fails the task.
     """
     from segloom.operators.prompts import CONTEXT_AFTER, CONTEXT_BEFORE, TRANSCRIPT_AFTER, TRANSCRIPT_BEFORE
-    from segloom.operators.segments import transcripts
-
-    keys = ["job_id", "chunk_index"]
-    spoken = speech.where("type = 'speech'").groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda s: s["content"]).alias("spoken")
-    )
-    joined = batches.join(transcripts(speech, keys), keys, "left").join(spoken, keys, "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = make()
-        rows, context = [], ""
-        for (job, chunk), part in pdf.groupby(["job_id", "chunk_index"], sort=True):
-            first = part.iloc[0]
-            prompt = template
-            if context.strip():
-                prompt += CONTEXT_BEFORE + context + CONTEXT_AFTER
-            if isinstance(first.transcript, str) and first.transcript.strip():
-                prompt += TRANSCRIPT_BEFORE + first.transcript + TRANSCRIPT_AFTER
-            seen = None
-            for k, r in enumerate(part.sort_values("batch").itertuples()):
-                seen = describe_batch(model, prompt, list(r.images))
-                rows.append((job, chunk, k, r.batch_start, r.batch_end, seen))
-            said = [s for s in (first.spoken if first.spoken is not None else []) if s.strip()]
-            context = _context(said, seen)
-        return pd.DataFrame(rows, columns=["job_id", "chunk_index", "ord", "batch_start", "batch_end", "content"])
-
-    schema = "job_id string, chunk_index bigint, ord int, batch_start double, batch_end double, content string"
-    out = joined.groupBy("job_id").applyInPandas(run, schema)
-    return out.select(
-        *keys,
-        "ord",
-        F.lit("visual").alias("type"),
-        format_timestamp(F.col("batch_start")).alias("start"),
-        format_timestamp(F.col("batch_end")).alias("end"),
-        "content",
-    )
+    from segloom.sources import store
+
+    def run(table: pa.Table) -> pa.Table:
+        model, context, last, out = None, "", None, []
+        for r in sorted(table.to_pylist(), key=lambda r: r["chunk_index"]):
+            began, index = time.monotonic(), r["chunk_index"]
+            if last is None or index != last + 1:
+                context = r["carried"] or ""
+            last = index
+            batches = r["batches"] or []
+            rows = store.read_checkpoint(root, key, index)
+            try:
+                if rows is None:
+                    rows = [{k: s[k] for k in ("type", "start", "end", "content")} for s in r["speech"] or []]
+                    prompt = template
+                    if context.strip():
+                        prompt += CONTEXT_BEFORE + context + CONTEXT_AFTER
+                    if (r["transcript"] or "").strip():
+                        prompt += TRANSCRIPT_BEFORE + r["transcript"] + TRANSCRIPT_AFTER
+                    for b in batches:
+                        model = model or make()
+                        seen = describe_batch(model, prompt, encode_frames(b["paths"]))
+                        rows.append({"type": "visual", "start": b["start"], "end": b["end"], "content": seen})
+                    store.save_checkpoint(root, key, index, rows)
+            except EngineError as e:
+                out.append((r["job_id"], index, 0, 0, 0, time.monotonic() - began, type(e).__name__, e.args[0] if e.args else ""))
+                break
+            said = [s["content"] for s in rows if s["type"] == "speech" and s["content"].strip()]
+            context = _context(said, next((s["content"] for s in reversed(rows) if s["type"] == "visual"), None))
+            frames = sum(len(b["paths"]) for b in batches)
+            out.append((r["job_id"], index, frames, len(batches), len(rows), time.monotonic() - began, None, None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), REPORT_SCHEMA.types, strict=True)], schema=REPORT_SCHEMA)
+
+    return work.groupBy("job_id").applyInArrow(run, REPORT)
 
 
 def post_json(url: str, body: dict, headers: dict[str, str] | None = None, timeout: float = 300) -> dict:
@@ -195,22 +210,41 @@ def encode_frames(paths: list[str]) -> list[str]:
     return out
 
 
-def frame_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch of frames, their base64 texts in place of their paths."""
-    for batch in batches:
-        images = [encode_frames(p or []) for p in batch.column("paths").to_pylist()]
-        at = batch.schema.get_field_index("paths")
-        yield batch.remove_column(at).append_column("images", pa.array(images, pa.list_(pa.string())))
+class CommandRecogniser:
+    """Transcriber over a recogniser's command line, which writes JSON beside the recording."""
 
+    def __init__(self, config: Speech, run: Callable[..., str] = run_tool):
+        if not os.path.exists(config.model_path):
+            raise SpeechError(f"failed to load model '{config.model_path}'")
+        self.config, self.run = config, run
 
-def model_server_version(endpoint: str, model: str, get: Callable[[str], dict] | None = None) -> str | None:
-    """The configured model's name if the model server answers and has it, else None."""
+    def transcribe(self, wav_path: str) -> list[tuple[int, int, str]]:
+        try:
+            with open(wav_path, "rb") as f:
+                if not len(decode_wav(f.read())):
+                    return []
+            out = os.path.splitext(wav_path)[0] + ".speech"
+            c = self.config
+            self.run([c.path, "-m", c.model_path, "-l", c.language, "-t", str(c.n_threads), "-np", "-oj", "-of", out, "-f", wav_path])
+            with open(out + ".json", encoding="utf-8", errors="replace") as f:
+                heard = json.load(f)["transcription"]
+            return [(s["offsets"]["from"] // 10, s["offsets"]["to"] // 10, s["text"]) for s in heard]
+        except MediaError as e:
+            raise SpeechError(e.args[0] if e.args else "") from e
+        except (OSError, EOFError, wave.Error, ValueError, KeyError, TypeError) as e:
+            raise SpeechError(f"transcription failed: {e}") from e
+
+
+def check_model_server(endpoint: str, model: str, get: Callable[[str], dict] | None = None) -> None:
+    """Raises unless the model server answers and has the configured model."""
 
     def fetch(url: str) -> dict:
         with urllib.request.urlopen(url, timeout=10) as answer:
             return json.loads(answer.read())
 
     try:
-        return model if model_installed((get or fetch)(endpoint.rstrip("/") + "/api/tags"), model) else None
-    except (urllib.error.URLError, TimeoutError, ValueError, KeyError):
-        return None
+        tags = (get or fetch)(endpoint.rstrip("/") + "/api/tags")
+        if not model_installed(tags, model):
+            raise VisionError(f"model '{model}' is not installed")
+    except (urllib.error.URLError, OSError, ValueError, KeyError) as e:
+        raise VisionError(f"cannot reach {endpoint}: {e}") from e

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segloom.errors import ConfigError
+
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a data directory."""
@@ -52,6 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder for files that executors hand on to each other, beside the session's checkpoints."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "segloom-checkpoints")
+    path = re.sub(r"^file:/*", "/", folder)
+    if re.match(r"[a-z0-9+.-]+:", path):
+        raise ConfigError(f"processing.temp_dir must name a folder that all executors share; tools cannot write to {folder}")
+    return os.path.join(path, "segloom-jobs")
+
+
 #: Tables written by :func:`cut`: a weak reference to what every plan that reads the table holds, and its path.
 _TABLES: list[tuple] = []
 

@@ -13,7 +13,7 @@ import time
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
@@ -24,36 +24,80 @@ from segloom.errors import ApiError, ClientError, EngineError
 DEFAULTS: dict[str, Any] = {"force": False, "profile": None, "max_resolution": None, "max_fps": None}
 
 
-def multipart(body: bytes, content_type: str) -> dict[str, tuple[str | None, bytes]]:
-    """Fields of a form, in any order: name to (file name, bytes)."""
-    found = re.search(r'boundary="?([^";]+)"?', content_type or "")
-    if not found:
-        raise ApiError(400, "not a multipart form")
-    out: dict[str, tuple[str | None, bytes]] = {}
-    for part in body.split(b"--" + found[1].encode())[1:]:
-        head, gap, data = part.partition(b"\r\n\r\n")
-        if not gap:
-            continue
-        name = re.search(rb'[; ]name="([^"]*)"', head)
-        file = re.search(rb'filename="([^"]*)"', head)
-        if name:
-            out[name[1].decode()] = (file[1].decode() if file else None, data.removesuffix(b"\r\n"))
-    return out
+#: Most bytes of a form's field that is not the file.
+FIELD_BYTES = 1 << 16
+#: Most bytes of a request that is not an upload.
+JSON_BYTES = 1 << 20
+BLOCK = 1 << 16
+
+
+class Form:
+    """A multipart form read from a stream block by block; what it holds of the stream is bounded."""
+
+    def __init__(self, stream, size: int, content_type: str):
+        found = re.search(r'boundary="?([^";]+)"?', content_type or "")
+        if not found:
+            raise ApiError(400, "not a multipart form")
+        self.mark = b"\r\n--" + found[1].encode()
+        self.stream, self.left, self.held = stream, size, b"\r\n"
+
+    def _more(self) -> bool:
+        block = self.stream.read(min(BLOCK, self.left)) if self.left else b""
+        self.left -= len(block)
+        self.held += block
+        return bool(block)
+
+    def _until(self, mark: bytes) -> Iterator[bytes]:
+        """What comes before ``mark``, piece by piece; the mark itself is passed over."""
+        while (at := self.held.find(mark)) < 0:
+            keep = len(mark) - 1
+            if len(self.held) > keep:
+                yield self.held[:-keep]
+                self.held = self.held[-keep:]
+            if not self._more():
+                raise ApiError(400, "malformed form")
+        yield self.held[:at]
+        self.held = self.held[at + len(mark) :]
+
+    def _short(self, mark: bytes) -> bytes:
+        out = b""
+        for piece in self._until(mark):
+            out += piece
+            if len(out) > FIELD_BYTES:
+                raise ApiError(400, "malformed form: a field is too long")
+        return out
+
+    def fields(self) -> Iterator[tuple[str, str | None, Iterator[bytes]]]:
+        """Name, file name and content of each field in order; a content must be read before the next field."""
+        for _ in self._until(self.mark):
+            pass
+        while True:
+            while len(self.held) < 2 and self._more():
+                pass
+            if not self.held.startswith(b"\r\n"):
+                while self.left and self._more():
+                    self.held = b""  # the rest after the closing mark
+                return
+            head = self._short(b"\r\n\r\n")
+            name = re.search(rb'[; ]name="([^"]*)"', head)
+            file = re.search(rb'filename="([^"]*)"', head)
+            yield (name[1].decode(errors="replace") if name else ""), (file[1].decode(errors="replace") if file else None), self._until(self.mark)
 
 
 def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
     limit = engine.config.processing.max_upload_bytes
 
     class Handler(BaseHTTPRequestHandler):
-        def _body(self) -> bytes:
+        def _size(self, most: int) -> int:
             size = int(self.headers.get("Content-Length") or 0)
-            if size > limit:
+            if size > most:
+                self.close_connection = True
                 raise ApiError(400, "upload is too large")
-            return self.rfile.read(size)
+            return size
 
         def _json(self) -> dict:
             try:
-                value = json.loads(self._body() or b"{}")
+                value = json.loads(self.rfile.read(self._size(min(limit, JSON_BYTES))) or b"{}")
             except ValueError as e:
                 raise ApiError(400, f"malformed request: {e}") from e
             if not isinstance(value, dict):
@@ -68,11 +112,11 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
             self.end_headers()
             self.wfile.write(body)
 
-        def _route(self, routes: list[tuple[str, Callable[..., Any]]]) -> None:
+        def _route(self, routes: list[tuple[str, Callable[..., Any]]], status: int = 200) -> None:
             try:
                 for pattern, act in routes:
                     if m := re.fullmatch(pattern, self.path.split("?")[0].rstrip("/") or "/"):
-                        self._answer(200, act(*m.groups()))
+                        self._answer(status, act(*m.groups()))
                         return
                 raise ApiError(404, "no such route")
             except ApiError as e:
@@ -96,14 +140,28 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
                 return engine.submit_url(r.get("url") or "", bool(r["force"]), r["profile"], r["max_resolution"], r["max_fps"]).response()
 
             def upload() -> dict:
-                fields = multipart(self._body(), self.headers.get("Content-Type") or "")
-                if "file" not in fields or not fields["file"][0]:
+                form = Form(self.rfile, self._size(limit), self.headers.get("Content-Type") or "")
+                text: dict[str, str] = {}
+                name, path = None, None
+                self.close_connection = True  # a form given up half way leaves bytes in the stream
+                for field, file, content in form.fields():
+                    if field == "file" and file and path is None:
+                        name, path = file, engine.upload_path()
+                        with open(path, "wb") as out:
+                            for piece in content:
+                                out.write(piece)
+                    else:
+                        data = b""
+                        for piece in content:
+                            data += piece
+                            if len(data) > FIELD_BYTES:
+                                raise ApiError(400, "malformed form: a field is too long")
+                        text[field] = data.decode(errors="replace")
+                if path is None:
                     raise ApiError(400, "missing file field")
-                text = {k: v.decode() for k, (_, v) in fields.items() if k != "file"}
-                name, data = fields["file"]
-                return engine.upload(name, data, text.get("force") == "true", text.get("profile")).response()
+                return engine.upload(name, path, text.get("force") == "true", text.get("profile")).response()
 
-            self._route([("/jobs", create), ("/jobs/url", create_url), ("/jobs/upload", upload)])
+            self._route([("/jobs", create), ("/jobs/url", create_url), ("/jobs/upload", upload)], status=201)
 
         def log_message(self, *args: Any) -> None:
             pass
@@ -123,8 +181,9 @@ class Client:
     def __init__(self, url: str, timeout: float = 600):
         self.url, self.timeout = url.rstrip("/"), timeout
 
-    def _call(self, method: str, path: str, body: bytes | None = None, kind: str = "application/json") -> dict:
-        request = urllib.request.Request(self.url + path, body, {"Content-Type": kind}, method=method)
+    def _call(self, method: str, path: str, body: bytes | Iterator[bytes] | None = None, kind: str = "application/json", size: int | None = None) -> dict:
+        headers = {"Content-Type": kind} | ({"Content-Length": str(size)} if size is not None else {})
+        request = urllib.request.Request(self.url + path, body, headers, method=method)
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as answer:
                 return json.loads(answer.read())
@@ -135,7 +194,7 @@ class Client:
             except (ValueError, KeyError, TypeError):
                 pass
             raise ApiError(e.code, text) from e
-        except (urllib.error.URLError, TimeoutError) as e:
+        except (urllib.error.URLError, OSError) as e:
             raise ClientError(f"cannot reach {self.url}: {e}") from e
 
     def health(self) -> dict:
@@ -155,9 +214,17 @@ class Client:
         fields |= {"profile": profile} if profile else {}
         parts = [f'--{mark}\r\nContent-Disposition: form-data; name="{k}"\r\n\r\n{v}\r\n'.encode() for k, v in fields.items()]
         head = f'--{mark}\r\nContent-Disposition: form-data; name="file"; filename="{os.path.basename(path)}"\r\nContent-Type: video/mp4\r\n\r\n'
-        with open(path, "rb") as f:
-            body = b"".join([*parts, head.encode(), f.read(), f"\r\n--{mark}--\r\n".encode()])
-        return self._call("POST", "/jobs/upload", body, f"multipart/form-data; boundary={mark}")
+        before, after = b"".join([*parts, head.encode()]), f"\r\n--{mark}--\r\n".encode()
+
+        def body() -> Iterator[bytes]:
+            yield before
+            with open(path, "rb") as f:
+                while block := f.read(BLOCK):
+                    yield block
+            yield after
+
+        size = len(before) + os.path.getsize(path) + len(after)
+        return self._call("POST", "/jobs/upload", body(), f"multipart/form-data; boundary={mark}", size)
 
     def status(self, job: str) -> dict:
         return self._call("GET", f"/jobs/{job}")

@@ -19,6 +19,7 @@ from segloom.config import Downloader, Media, Vision
 from segloom.errors import DownloadError, MediaError
 from segloom.functions.text import format_selector  # noqa: F401  (part of the source's surface)
 
+#: Fixed values here and below: the sample format, tool arguments and the download selector.
 RATE = 16_000
 FULL_SCALE = 32767.0
 
@@ -29,16 +30,6 @@ def recordings(spark: SparkSession, directory: str) -> DataFrame:
     return files.where(F.col("path").rlike(r"[^/]\.mp4$")).select("path", "length", "modificationTime").orderBy("path")
 
 
-def frames(spark: SparkSession, directory: str, suffix: str = "jpg") -> DataFrame:
-    """Frame files of a directory with their bytes, by path."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(directory).select("path", "content").orderBy("path")
-
-
-def base64_of(content: Column) -> Column:
-    """Padded base64 without line breaks."""
-    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
-
-
 def probed_duration(body: Column) -> Column:
     """Seconds from the probe's JSON answer, null if it names none."""
     return F.get_json_object(body, "$.format.duration").try_cast("double")
@@ -56,27 +47,6 @@ def decode_wav(data: bytes) -> np.ndarray:
         return np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / np.float32(FULL_SCALE)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        samples, errors = [], []
-        for data in batch.column("content").to_pylist():
-            try:
-                samples.append(decode_wav(data))
-                errors.append(None)
-            except (MediaError, wave.Error, EOFError) as e:
-                samples.append(None)
-                errors.append(str(e) or "ffmpeg error: not a wav file")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("path"), pa.array(samples, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["path", "samples", "error"]
-        )
-
-
-def wav_samples(spark: SparkSession, path: str) -> DataFrame:
-    """path, samples and error of each wav file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
-    return files.mapInArrow(_decode, "path string, samples array<float>, error string")
-
-
 def _number(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else repr(float(x))
 
@@ -109,14 +79,6 @@ def run_tool(command: list[str], timeout: float | None = None) -> str:
     return done.stdout
 
 
-def tool_version(command: list[str]) -> str | None:
-    """First line a tool says about itself, or None where it is not installed."""
-    try:
-        return run_tool(command, 30).partition("\n")[0].strip()
-    except MediaError:
-        return None
-
-
 def probe_durations(df: DataFrame, media: Media, run: Callable[[list[str]], str] = run_tool) -> DataFrame:
     """Adds body and error of the probe for each path."""
 
@@ -139,7 +101,8 @@ def probe_durations(df: DataFrame, media: Media, run: Callable[[list[str]], str]
 def extract_artifacts(chunks: DataFrame, media: Media, vision: Vision, run: Callable[[list[str]], str] = run_tool) -> DataFrame:
     """Audio and frames of each chunk (path, job_dir, chunk_index, start_seconds, end_seconds), extracted in parallel.
 
-    Each attempt gets a fresh folder, so frames of an earlier run are never listed.
+    ``job_dir`` lies in a folder that all executors share. Each attempt gets a fresh folder, so frames of an earlier
+    run are never listed.
     """
     columns = ["job_id", "chunk_index", "audio_path", "frame_paths", "error"]
 
@@ -193,5 +156,8 @@ def download_video(
     return path, os.path.splitext(os.path.basename(path))[0]
 
 
-def manifest_json(job_dir: str, duration: float, artifacts: list[dict]) -> str:
-    return json.dumps({"job_dir": job_dir, "duration_seconds": duration, "chunks": sorted(artifacts, key=lambda a: a["chunk_index"])})
+def write_manifest(artifacts: DataFrame, job_dir: str) -> None:
+    """What was extracted of a recording, one JSON line a chunk, in the job's folder; written by the tasks."""
+    artifacts.select("chunk_index", "start_seconds", "end_seconds", "audio_path", "frame_paths").coalesce(1).sortWithinPartitions(
+        "chunk_index"
+    ).write.mode("overwrite").json(os.path.join(job_dir, "manifest"))

@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import shutil
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
@@ -27,7 +28,7 @@ TYPES = ("speech", "visual", "sound")
 
 def write_atomically(path: Path, body: str) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
-    draft = path.with_name(path.name + ".tmp")
+    draft = path.with_name(f"{path.name}.{uuid.uuid4().hex[:8]}.tmp")
     draft.write_text(body)
     os.replace(draft, path)
 
@@ -41,32 +42,44 @@ def checkpoint_key(content_hash: str, fingerprint: str) -> str:
     return hashlib.sha256(f"{content_hash}:{fingerprint}".encode()).hexdigest()[:32]
 
 
+def checkpoint_path(root: str | Path, job: str, chunk_index: int) -> Path:
+    return checkpoint_dir(root, job) / f"chunk_{chunk_index:03d}.json"
+
+
 def save_checkpoint(root: str | Path, job: str, chunk_index: int, segments: Iterable[dict]) -> Path:
     """One chunk's rows, in place at once or not at all."""
-    path = checkpoint_dir(root, job) / f"chunk_{chunk_index:03d}.json"
+    path = checkpoint_path(root, job, chunk_index)
     body = {"version": CHECKPOINT_VERSION, "chunk_index": chunk_index, "segments": list(segments)}
     write_atomically(path, json.dumps(body, indent=2, ensure_ascii=False))
     return path
 
 
-def write_checkpoints(rows: DataFrame, root: str) -> None:
-    """Rows of many chunks as a table parted by job and chunk; only the parts written are replaced."""
-    parted = rows.repartition("job_id", "chunk_index").sortWithinPartitions("job_id", "chunk_index", "ord")
-    parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id", "chunk_index").parquet(root)
+def read_checkpoint(root: str | Path, job: str, chunk_index: int) -> list[dict] | None:
+    """One chunk's rows, for use inside a partition; None if there is no checkpoint of this version."""
+    path = checkpoint_path(root, job, chunk_index)
+    if not path.exists():
+        return None
+    body = json.loads(path.read_text())
+    return body["segments"] if body.get("version") == CHECKPOINT_VERSION else None
 
 
-def load_checkpoints(spark: SparkSession, root: str | Path, job: str) -> DataFrame:
-    """Rows of a job's checkpoints: chunk_index, ord, type, start, end, content.
+def checkpoints(spark: SparkSession, root: str | Path, job: str) -> DataFrame:
+    """A job's checkpoints: chunk_index, segments.
 
-    No folder means no rows; drafts are not read; other versions are passed over; a malformed file fails the load.
+    No folder means none; drafts are not read; other versions are passed over; a malformed file fails the load.
     """
     where = checkpoint_dir(root, job)
     if not where.is_dir() or not any(where.glob("*.json")):
         read = spark.createDataFrame([], CHECKPOINT_SCHEMA)
     else:
         read = spark.read.schema(CHECKPOINT_SCHEMA).json(str(where), pathGlobFilter="*.json", multiLine=True, mode="FAILFAST")
-    kept = read.where(F.col("version") == CHECKPOINT_VERSION)
-    return kept.select("chunk_index", F.posexplode("segments").alias("ord", "s")).select("chunk_index", "ord", "s.*")
+    return read.where(F.col("version") == CHECKPOINT_VERSION).drop("version")
+
+
+def load_checkpoints(spark: SparkSession, root: str | Path, job: str) -> DataFrame:
+    """Rows of a job's checkpoints: chunk_index, ord, type, start, end, content."""
+    found = checkpoints(spark, root, job)
+    return found.select("chunk_index", F.posexplode("segments").alias("ord", "s")).select("chunk_index", "ord", "s.*")
 
 
 def clear_checkpoints(root: str | Path, job: str) -> None:
@@ -97,6 +110,12 @@ def persisted_results(spark: SparkSession, results: str | Path) -> DataFrame:
     return jobs.join(timelines, "folder").drop("folder")
 
 
+def stored_result(results: str | Path, job: str) -> dict | None:
+    """One job's timeline, or None if it is not there."""
+    path = Path(results) / job / "timeline.json"
+    return read_timeline(path) if path.exists() else None
+
+
 def cache_hash(source: str) -> str:
     return hashlib.sha256(source.encode()).hexdigest()[:8]
 
@@ -180,12 +199,3 @@ def read_timelines(spark: SparkSession, path: str) -> DataFrame:
     given = lambda s: s["type"].isin(*TYPES) & s["start"].isNotNull() & s["end"].isNotNull() & s["content"].isNotNull()
     whole = F.col("source").isNotNull() & F.col("duration_seconds").isNotNull() & F.coalesce(F.forall("segments", given), F.lit(False))
     return read.withColumn("accepted", whole)
-
-
-def uploads(spark: SparkSession, landing: str) -> DataFrame:
-    """Recordings that arrive in a landing folder, as a stream."""
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.mp4").load(landing)
-    return stream.select("path", "length", "modificationTime")
-
-

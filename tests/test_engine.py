@@ -1,14 +1,16 @@
+import io
 import json
 import os
 import sys
 import threading
+import time
 
 import pytest
 from pyspark import cloudpickle
 
 from segloom import cli, formatting, models
 from segloom.config import ClientConfig, Processing, ServerConfig, VisionServer
-from segloom.engine import Engine, process_directory, process_video
+from segloom.engine import Engine, process_video
 from segloom.errors import ApiError, Cancelled, ClientError, VisionError
 from segloom.sources import store
 
@@ -21,6 +23,21 @@ class Words:
         return [(0, 100, " Hello there "), (100, 200, "[MUSIC]"), (200, 300, "  ")]
 
 
+class Ledger:
+    """Prompts of a describer that breaks at a given call, kept in a file that tasks share."""
+
+    def __init__(self, path, breaks=None):
+        self.path, self.breaks = path, breaks
+
+    def describe(self, prompt, images):
+        with open(self.path, "a") as f:
+            f.write(json.dumps(prompt) + "\n")
+        n = sum(1 for _ in open(self.path))
+        if self.breaks == n:
+            raise RuntimeError("the machine went away")
+        return f"scene {len(prompt)}"
+
+
 class Pictures:
     def describe(self, prompt, images):
         return f"<think>x</think> {len(images)} pictures{' after ' + prompt.split('Last visual: ')[1].split(chr(34))[0] if 'Last visual: ' in prompt else ''}"
@@ -73,12 +90,123 @@ def test_pipeline_and_resume(spark, config, video):
         process_video(spark, config, video, "job4", Words, Pictures, cancelled=lambda: True, run=tools(10.0))
 
 
+def test_a_crash_loses_only_the_chunk_it_hit(spark, config, video, tmp_path):
+    config.processing.cleanup_checkpoints = False
+    config.vision.max_frames_per_request = 17
+    whole, broken = tmp_path / "whole", tmp_path / "broken"
+    want = process_video(spark, config, video, "a", Words, lambda: Ledger(whole), run=tools(720.0))
+    prompts = [json.loads(x) for x in whole.read_text().splitlines()]
+    assert len(prompts) == 4 and all("Last visual: scene" in p and "Recent dialogue: Hello there" in p for p in prompts[1:]) and "Last visual" not in prompts[0]
+    config.vision.max_tokens += 1  # other settings, other checkpoints
+    root = config.processing.temp_dir
+    before = set(os.listdir(root))
+    with pytest.raises(Exception, match="the machine went away"):
+        process_video(spark, config, video, "b", Words, lambda: Ledger(broken, 4), run=tools(720.0))
+    (key,) = (d for d in set(os.listdir(root)) - before if os.path.isdir(os.path.join(root, d, "checkpoints")))
+    assert sorted(os.listdir(store.checkpoint_dir(root, key))) == ["chunk_000.json", "chunk_001.json", "chunk_002.json"]
+    broken.unlink()
+    calls = []
+    assert process_video(spark, config, video, "c", Words, lambda: Ledger(broken), run=tools(720.0)) == want
+    assert [json.loads(x) for x in broken.read_text().splitlines()] == prompts[3:]
+    assert process_video(spark, config, video, "d", None, None, run=tools(720.0, calls)) == want
+    assert len(calls) == 0 or all(c[0].endswith("ffprobe") for c in calls)
+    # A hole in the middle is filled with the context of the chunk before it, and the prompt's text is part of the key.
+    store.checkpoint_path(root, key, 1).unlink()
+    broken.unlink()
+    assert process_video(spark, config, video, "e", Words, lambda: Ledger(broken), run=tools(720.0)) == want
+    assert [json.loads(x) for x in broken.read_text().splitlines()] == prompts[1:2]
+    assert config.fingerprint("one") != config.fingerprint("another")
+
+
+def test_model_errors_and_chunks_without_frames(spark, config, video):
+    class Down:
+        def describe(self, prompt, images):
+            raise ClientError("down")
+
+    with pytest.raises(ClientError, match="down"):
+        process_video(spark, config, video, "a", Words, Down, run=tools(10.0))
+
+    def no_frames(command, timeout=None):
+        if command[0].endswith("ffprobe"):
+            return json.dumps({"format": {"duration": "200"}})
+        if command[-1].endswith(".wav"):
+            open(command[-1], "wb").close()
+        return ""
+
+    timeline = process_video(spark, config, video, "b", Words, None, run=no_frames)
+    assert [s["type"] for s in timeline["segments"]] == ["speech", "sound"] * 2
+
+
+def test_recogniser_command(tmp_path):
+    from segloom.config import Speech
+    from segloom.errors import MediaError, SpeechError
+
+    model, sound = tmp_path / "m.bin", tmp_path / "a.wav"
+    model.write_bytes(b"x")
+    calls = []
+
+    def run(command):
+        calls.append(command)
+        with open(command[command.index("-of") + 1] + ".json", "w") as f:
+            json.dump({"transcription": [{"offsets": {"from": 0, "to": 1234}, "text": " Hello"}]}, f)
+        return ""
+
+    def wav(n, channels=1):
+        import wave
+
+        with wave.open(str(sound), "wb") as w:
+            w.setnchannels(channels), w.setframerate(16000), w.setsampwidth(2)
+            w.writeframes(b"\0\0" * n * channels)
+
+    r = models.CommandRecogniser(Speech(model_path=str(model)), run)
+    wav(10)
+    assert r.transcribe(str(sound)) == [(0, 123, " Hello")] and calls[0][0] == "whisper-cli" and str(model) in calls[0]
+    wav(0)
+    assert r.transcribe(str(sound)) == [] and len(calls) == 1
+    wav(10, 2)
+    with pytest.raises(SpeechError, match="mono"):
+        r.transcribe(str(sound))
+    sound.write_bytes(b"junk")
+    with pytest.raises(SpeechError):
+        r.transcribe(str(sound))
+
+    def broken(command):
+        raise MediaError("no such tool")
+
+    wav(10)
+    for bad in (broken, lambda c: ""):
+        (tmp_path / "a.speech.json").unlink(missing_ok=True)
+        with pytest.raises(SpeechError):
+            models.CommandRecogniser(Speech(model_path=str(model)), bad).transcribe(str(sound))
+    with pytest.raises(SpeechError, match="model"):
+        models.CommandRecogniser(Speech(model_path="/no/model"))
+
+
+def test_shared_folder(spark, config):
+    from segloom.engine import job_root
+    from segloom.runtime import shared_folder
+
+    assert job_root(spark, config) == config.processing.temp_dir
+    config.processing.temp_dir = None
+    assert job_root(spark, config) == shared_folder(spark) and shared_folder(spark).startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
 def timeline_of(path):
     return {"source": os.path.basename(path), "duration_seconds": 1.0, "segments": []}
 
 
 def ended(engine, job):
-    return engine.wait(job.id, 0.01, 20)
+    for _ in range(2000):
+        if engine.status(job.id)["status"] in ("completed", "failed"):
+            return engine.status(job.id)
+        time.sleep(0.01)
+    raise AssertionError("not ended")
+
+
+def uploaded(engine):
+    path = engine.upload_path()
+    path.write_bytes(b"x")
+    return path
 
 
 def test_jobs(spark, config, video):
@@ -94,7 +222,7 @@ def test_jobs(spark, config, video):
     e = Engine(spark, config, process)
     first = e.submit(video)
     began.wait(20)
-    second, third = e.submit(video), e.upload("bad.mp4", b"x")
+    second, third = e.submit(video), e.upload("bad.mp4", uploaded(e))
     assert e.status(second.id)["status"] == "queued"
     with pytest.raises(ApiError, match="processing|queued"):
         e.result(second.id)
@@ -104,32 +232,33 @@ def test_jobs(spark, config, video):
     assert ended(e, third) == {"id": third.id, "source": "bad.mp4", "status": "failed", "error": "vision model error: broken"}
     assert e.status(second.id)["error"] == "cancelled by user"
     for call, status in ((lambda: e.submit(""), 400), (lambda: e.submit("/no.mp4"), 400), (lambda: e.submit(os.path.dirname(video)), 400), (lambda: e.submit(video, profile="none"), 400),
-                         (lambda: e.submit_url(""), 400), (lambda: e.upload("a.txt", b""), 400), (lambda: e.status("x"), 400), (lambda: e.status("0" * 32), 404), (lambda: e.cancel(first.id), 409)):
+                         (lambda: e.submit_url(""), 400), (lambda: e.upload("a.txt", video), 400), (lambda: e.status("x"), 400), (lambda: e.status("0" * 32), 404), (lambda: e.cancel(first.id), 409)):
         with pytest.raises(ApiError) as err:
             call()
         assert err.value.status == status
     assert len([j for j in e.jobs.values() if j.status == "queued"]) == 0
     back = Engine(spark, config, process)
-    assert back.result(first.id) == timeline_of("clip.mp4") and back.cancel_all() == 0
+    assert back.result(first.id) == timeline_of("clip.mp4") and back.cancel_all() == 0 and back.loaded == 1
 
 
-def test_urls_health_and_folders(spark, config, video, tmp_path):
-    def process(spark, config, path, job, force, source_name, cancelled):
-        if "b.mp4" in path:
-            raise VisionError("no")
-        return timeline_of(source_name)
+def test_urls_and_health(spark, config, video):
+    from segloom.errors import MediaError
 
-    e = Engine(spark, config, process, download=lambda c, url, d, r, f: (video, "A title"))
+    e = Engine(spark, config, lambda *a, **k: timeline_of(k["source_name"]), download=lambda c, url, d, r, f: (video, "A title"))
     job = e.submit_url("https://x.invalid/v")
     ended(e, job)
     assert e.result(job.id)["source"] == "A title.mp4"
-    assert e.health({"a": lambda: "1", "b": lambda: None})["status"] == "degraded" and e.health({"a": lambda: "1"})["status"] == "ok"
-    (tmp_path / "in" / "b.mp4").write_bytes(b"x")
-    opts = {"interval": 0.01, "timeout": 20}
-    rows = {r.path.rsplit("/", 1)[1]: (r.ok, r.cached) for r in process_directory(e, os.path.dirname(video), tmp_path / "cache", **opts).collect()}
-    assert rows == {"b.mp4": (False, False), "clip.mp4": (True, False)}
-    rows = {r.path.rsplit("/", 1)[1]: (r.ok, r.cached) for r in process_directory(e, os.path.dirname(video), tmp_path / "cache", **opts).collect()}
-    assert rows == {"b.mp4": (False, False), "clip.mp4": (True, True)}
+    tags = {"models": [{"name": config.ollama.model}]}
+    assert e.health(lambda c, t: f"{c[0]} 7\nmore", lambda url: tags) == {
+        "status": "ok", "ffmpeg": {"ffmpeg_version": "ffmpeg 7", "ffprobe_version": "ffprobe 7"}, "ollama": "ok", "ytdlp": {"version": "yt-dlp 7"}
+    }
+
+    def gone(command, timeout):
+        raise MediaError(f"{command[0]} not found")
+
+    found = e.health(gone, lambda url: {})
+    assert found["status"] == "degraded" and all("error" in found[k] for k in ("ffmpeg", "ollama", "ytdlp"))
+    assert found["ytdlp"] == {"error": "ffmpeg error: yt-dlp not found"}
 
 
 def test_tries_only_for_empty_answers():
@@ -197,54 +326,131 @@ def test_formatting():
         empty.chat("a", "b")
 
 
-def test_cli(spark, config, video, tmp_path, monkeypatch):
+@pytest.fixture
+def served(spark, config, video):
+    from segloom.server import serve
+
+    def process(spark, config, path, job, force, source_name, cancelled):
+        if "b.mp4" in source_name:
+            raise VisionError("no")
+        return timeline_of(source_name)
+
+    server = serve(Engine(spark, config, process, download=lambda *a: (video, "T")), "127.0.0.1", 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield server
+    server.shutdown()
+    server.server_close()
+
+
+def home_of(tmp_path, monkeypatch, port, more=""):
     monkeypatch.setenv("HOME", str(tmp_path / "home"))
     home = tmp_path / "home" / ".segloom"
     (home / "config").mkdir(parents=True)
-    (home / "config" / "client.toml").write_text("[polling]\npoll_interval_secs = 1\ntimeout_secs = 30\n")
-    e = Engine(spark, config, lambda *a, **k: timeline_of(k["source_name"]), download=lambda *a: (video, "T"))
+    text = f'[server]\nhost = "127.0.0.1"\nport = {port}\n[polling]\npoll_interval_secs = 1\ntimeout_secs = 30\n{more}'
+    (home / "config" / "client.toml").write_text(text)
+    return home
+
+
+def test_cli(spark, served, video, tmp_path, monkeypatch):
+    home = home_of(tmp_path, monkeypatch, served.server_address[1], f'[output]\ndir = "{tmp_path}/results"\n')
     said = []
-    run = lambda *argv: cli.main(list(argv), lambda c: e, lambda: spark, said.append)
+    run = lambda *argv: cli.main(list(argv), lambda: spark, said.append)
     out = tmp_path / "out.json"
     assert run("process", video, "-o", str(out)) == 0 and json.loads(out.read_text()) == timeline_of("clip.mp4")
-    assert run("process", video) == 0 and said[-1].startswith("cached: ")
-    assert run("process", "https://x.invalid/v") == 0 and run("process") == 2
+    assert run("process", video) == 0 and any(s.startswith("cached: ") for s in said)
+    assert json.loads((tmp_path / "results" / "clip.json").read_text()) == timeline_of("clip.mp4")
+    assert run("process", "https://x.invalid/v") == 0 and (tmp_path / "results" / "T.json").exists() and run("process") == 2
+    (tmp_path / "in" / "b.mp4").write_bytes(b"x")
+    said.clear()
+    assert run("process", os.path.dirname(video), "--force") == 1 and said[-1] == "1 of 2 processed" and any("vision model error: no" in s for s in said)
     assert run("list") == 0 and any("clip" in s for s in said)
-    assert run("doctor") == 0 and run("cancel", "all") == 0 and said[-1] == "cancelled 0 jobs"
-    assert run("cancel", "nope") == 1 and run("process", "/no.mp4") == 1
+    said.clear()
+    assert run("doctor") == 1 and any("reachable" in s for s in said) and any(s.startswith("[!!] ffmpeg: ") for s in said) and "[ok] configuration is valid" in said
+    assert run("cancel", "all") == 0 and said[-1] == "cancelled 0 jobs"
+    assert run("cancel", "nope") == 1 and run("process", "/no.mp4") == 1 and run("process", "-s", "127.0.0.1:9", "--force", video) == 1
     args = cli.parser().parse_args(["format", store.cache_hash(os.path.realpath(video))])
     path = cli.run_format(args, ClientConfig(), home / "cache", "key", lambda *a: {"choices": [{"message": {"content": "MD"}}]})
     assert path.endswith("formatted.md") and open(path).read() == "MD"
 
 
-def test_http(spark, config, video, caplog):
-    from segloom.server import Client, multipart, serve
-
-    e = Engine(spark, config, lambda *a, **k: timeline_of(k["source_name"]), download=lambda *a: (video, "T"))
-    server = serve(e, "127.0.0.1", 0)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    c = Client(f"http://127.0.0.1:{server.server_address[1]}")
-    try:
-        up, there, url = c.upload(video, force=True), c.submit(video), c.submit_url("https://x.invalid/v", max_fps=30)
-        for job, name in ((up, "clip.mp4"), (there, "clip.mp4"), (url, "T.mp4")):
-            assert c.wait(job["id"], 0.01, 20)["status"] == "completed"
-            assert c.result(job["id"]) == timeline_of(name)
-        assert c.health()["status"] == "degraded" and c.cancel_all() == 0
-        for call, status in ((lambda: c.status("x"), 400), (lambda: c.result("0" * 32), 404), (lambda: c.cancel(up["id"]), 409), (lambda: c.submit(""), 400),
-                             (lambda: c._call("GET", "/none"), 404), (lambda: c._call("POST", "/jobs", b"{"), 400), (lambda: c._call("POST", "/jobs/upload", b"x", "text/plain"), 400)):
-            with pytest.raises(ApiError) as err:
-                call()
-            assert err.value.status == status
-    finally:
-        server.shutdown()
-    form = multipart(b'--b\r\nContent-Disposition: form-data; name="file"; filename="a.mp4"\r\n\r\nx\r\ny\r\n--b--\r\n', "multipart/form-data; boundary=b")
-    assert form == {"file": ("a.mp4", b"x\r\ny")}
+def test_cli_starts_without_parts(spark, tmp_path, monkeypatch):
+    """Nothing is given from outside: the default session, engine, client and server."""
+    home_of(tmp_path, monkeypatch, 9)
+    (tmp_path / "home" / ".segloom" / "config" / "server.toml").write_text(f'[processing]\nresults_dir = "{tmp_path}/results"\n')
+    assert cli.main(["list"]) == 0 and cli.main(["doctor"]) == 1 and cli.main(["cancel", "all"]) == 1
+    (tmp_path / "home" / ".segloom" / "config" / "client.toml").write_text("[server")
+    assert cli.main(["cancel", "all"]) == 1
+    up = threading.Event()
+    started = []
+    ready = lambda server: (started.append(server), up.set())
+    thread = threading.Thread(target=lambda: cli.main(["serve", "--address", "127.0.0.1", "--port", "0"], ready=ready), daemon=True)
+    thread.start()
+    assert up.wait(60)
+    from segloom.server import Client
+
+    client = Client(f"http://127.0.0.1:{started[0].server_address[1]}")
+    assert client.health()["status"] == "degraded" and client.cancel_all() == 0
+    film = tmp_path / "x.mp4"
+    film.write_bytes(b"x")
+    job = client.upload(str(film))
+    assert client.wait(job["id"], 0.1, 60)["error"].startswith("ffmpeg error: ")
+    started[0].shutdown()
+    thread.join(20)
+    assert not thread.is_alive()
+
+
+def test_http(spark, config, video, served):
+    from segloom.server import Client, Form
+
+    c = Client(f"http://127.0.0.1:{served.server_address[1]}")
+    up, there, url = c.upload(video, force=True), c.submit(video), c.submit_url("https://x.invalid/v", max_fps=30)
+    for job, name in ((up, "clip.mp4"), (there, "clip.mp4"), (url, "T.mp4")):
+        assert c.wait(job["id"], 0.01, 20)["status"] == "completed"
+        assert c.result(job["id"]) == timeline_of(name)
+    assert c.health()["status"] == "degraded" and c.cancel_all() == 0
+    for call, status in ((lambda: c.status("x"), 400), (lambda: c.result("0" * 32), 404), (lambda: c.cancel(up["id"]), 409), (lambda: c.submit(""), 400),
+                         (lambda: c._call("GET", "/none"), 404), (lambda: c._call("POST", "/jobs", b"{"), 400), (lambda: c._call("POST", "/jobs/upload", b"x", "text/plain"), 400)):
+        with pytest.raises(ApiError) as err:
+            call()
+        assert err.value.status == status
     with pytest.raises(ClientError):
         Client("http://127.0.0.1:9").health()
+    import urllib.request
+
+    body = json.dumps({"source": video}).encode()
+    request = urllib.request.Request(c.url + "/jobs", body, {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request) as answer:
+        assert answer.status == 201
+
+
+class Trickle(io.BytesIO):
+    """Gives few bytes at a time, so that marks fall across blocks."""
+
+    def read(self, n=-1):
+        return super().read(min(n, 3) if n >= 0 else 3)
+
+
+def test_forms_are_read_as_streams():
+    from segloom.server import Form
+
+    data = bytes(range(256)) * 20 + b"\r\n--almost\r\n--b no"
+    text = b'--b\r\nContent-Disposition: form-data; name="force"\r\n\r\ntrue\r\n--b\r\nContent-Disposition: form-data; name="file"; filename="a.mp4"\r\n\r\n' + data + b'\r\n--bb--\r\n'
+    text = text.replace(b"\r\n--bb--", b"\r\n--bound--").replace(b"--b\r\nContent", b"--bound\r\nContent")
+    for stream in (Trickle(text), io.BytesIO(text)):
+        form = Form(stream, len(text), "multipart/form-data; boundary=bound")
+        found = [(name, file, b"".join(content)) for name, file, content in form.fields()]
+        assert found == [("force", None, b"true"), ("file", "a.mp4", data)] and form.left == 0
+    for bad in (text[:50], b"nothing", b""):
+        with pytest.raises(ApiError):
+            list((n, b"".join(c)) for n, _, c in Form(io.BytesIO(bad), len(bad), "multipart/form-data; boundary=bound").fields())
+    with pytest.raises(ApiError):
+        Form(io.BytesIO(b""), 0, "text/plain")
 
 
 def test_model_server():
     tags = {"models": [{"name": "m:8b"}]}
-    assert models.model_server_version("http://h", "m", lambda url: tags) == "m"
-    assert models.model_server_version("http://h", "n", lambda url: tags) is None
-    assert models.model_server_version("http://127.0.0.1:9", "m") is None
+    models.check_model_server("http://h", "m", lambda url: tags)
+    with pytest.raises(VisionError, match="not installed"):
+        models.check_model_server("http://h", "n", lambda url: tags)
+    with pytest.raises(VisionError, match="cannot reach"):
+        models.check_model_server("http://127.0.0.1:9", "m")

@@ -19,6 +19,9 @@ def test_checkpoints(spark, tmp_path):
     (where / "chunk_008.json").write_text(json.dumps({"version": 2, "chunk_index": 8, "segments": [SEG]}))
     rows = store.load_checkpoints(spark, tmp_path, "j").orderBy("chunk_index", "ord").collect()
     assert [(r.chunk_index, r.ord, r.content) for r in rows] == [(0, 0, "0"), (0, 1, "hé"), (1, 0, "1"), (1, 1, "hé"), (2, 0, "2"), (2, 1, "hé")]
+    store.save_checkpoint(tmp_path, "j", 3, [])
+    assert {r.chunk_index for r in store.checkpoints(spark, tmp_path, "j").collect()} == {0, 1, 2, 3}  # done, though it holds no row
+    assert store.read_checkpoint(tmp_path, "j", 3) == [] and store.read_checkpoint(tmp_path, "j", 8) is None and store.read_checkpoint(tmp_path, "j", 4) is None
     (where / "chunk_007.json").write_text("{broken")
     with pytest.raises(Exception, match="(?i)malformed|corrupt"):
         store.load_checkpoints(spark, tmp_path, "j").collect()
@@ -28,13 +31,6 @@ def test_checkpoints(spark, tmp_path):
     assert store.checkpoint_key("a", "b") == store.checkpoint_key("a", "b") != store.checkpoint_key("a", "c")
 
 
-def test_checkpoint_tables_replace_only_their_parts(spark, tmp_path):
-    schema = "job_id string, chunk_index int, ord int, content string"
-    store.write_checkpoints(spark.createDataFrame([("j", 0, 0, "old"), ("j", 1, 0, "keep")], schema), str(tmp_path / "t"))
-    store.write_checkpoints(spark.createDataFrame([("j", 0, 0, "new")], schema), str(tmp_path / "t"))
-    assert {(r.chunk_index, r.content) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(0, "new"), (1, "keep")}
-
-
 def test_results(spark, tmp_path):
     assert store.persisted_results(spark, tmp_path).count() == 0
     store.persist_result(tmp_path, "one", "a.mp4", TIMELINE)
@@ -46,6 +42,7 @@ def test_results(spark, tmp_path):
     (tmp_path / "four" / "job.json").write_text(json.dumps({"id": "four", "source": "d", "status": "failed"}))
     rows = store.persisted_results(spark, tmp_path).collect()
     assert [(r.id, r.source, r.duration_seconds, r.segments[0].content) for r in rows] == [("one", "a.mp4", 1.5, "hé")]
+    assert store.stored_result(tmp_path, "one") == TIMELINE and store.stored_result(tmp_path, "none") is None
 
 
 def test_cache(spark, tmp_path):
