@@ -18,10 +18,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.runtime import cut
+from segloom.runtime import broadcast_if_small, cut
 
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
@@ -32,8 +33,8 @@ WINDOW = 32
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 512, 4096
 #: Marks of texts and chunks a task remembers before it forgets and may emit some again.
 CACHE = 400_000
-#: Encoded chunks a task keeps at hand; equal chunks come one after another, so few are enough.
-KEPT_CHUNKS = 2_000
+#: Chunks that several tasks met whose marks are broadcast; beyond it those joins are shuffled.
+BROADCAST_CHUNKS = 500_000
 
 
 class Encoder:
@@ -63,28 +64,33 @@ def encoder(directory: str, name: str) -> Encoder:
 
 
 def _mixed(codes: np.ndarray) -> np.ndarray:
-    x = codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = codes + np.uint32(0x9E3779B9)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
 
 
-def chunk_ends(text: str, block: int = 1 << 20) -> list[int]:
-    """Content-defined chunk ends: where the rolling hash over WINDOW characters has its top bits clear."""
+def chunk_ends(text: str, block: int = 1 << 15) -> list[int]:
+    """Content-defined chunk ends: where the rolling hash over WINDOW characters falls below a level.
+
+    Long texts are hashed in blocks small enough for a core's cache.
+    """
     n = len(text)
     if n <= MIN_CHUNK:
         return [n] if n else []
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    level = np.uint64((1 << 64) // MEAN_CHUNK)
+    level = np.uint32((1 << 32) // MEAN_CHUNK)
     marks = []
     for at in range(0, n, block):
         low = max(0, at - WINDOW)
-        mixed = _mixed(codes[low : at + block])
-        rolling, step = mixed, 1
+        rolling, step, power = _mixed(codes[low : at + block]), 1, 0x01000193
         while step < WINDOW:  # the hash of 2 x step characters from two of step
             wider = rolling.copy()
-            wider[step:] += rolling[:-step] << np.uint64(step)
-            rolling, step = wider, 2 * step
+            wider[step:] += rolling[:-step] * np.uint32(power)
+            rolling, step, power = wider, 2 * step, power * power & 0xFFFFFFFF
         hit = np.flatnonzero(_mixed(rolling) < level) + low
         marks.append(hit[hit >= at])
     out: list[int] = []
@@ -108,14 +114,19 @@ def _key(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
-CHUNK = pa.schema([("doc_id", pa.int64()), ("doc", pa.binary()), ("pos", pa.int32()), ("chunk", pa.binary()), ("text", pa.string())])
-CHUNK_DDL = "doc_id bigint, doc binary, pos int, chunk binary, text string"
+CHUNK = pa.schema([("doc_id", pa.int64()), ("doc", pa.binary()), ("pos", pa.int32()), ("chunk", pa.binary()), ("place", pa.int64()), ("text", pa.string())])
+CHUNK_DDL = "doc_id bigint, doc binary, pos int, chunk binary, place bigint, text string"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three kinds of rows: each document with its text's mark, and once for every so many that this task has
-    met, the places of a text's chunks and a chunk's own text."""
+    """Each document with its text's mark; and once for every text that this task meets, the places of its chunks,
+    numbered through, with the text of chunks that this task meets for the first time."""
     met: set[bytes] = set()
+    place = TaskContext.get().partitionId() << 40
 
     def first(key: bytes) -> bool:
         if key in met:
@@ -129,26 +140,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             mark = _key(text)
-            out.append((doc, mark, -1, None, None))
+            out.append((doc, mark, -1, None, None, None))
             if not first(b"t" + mark):
                 continue
             start = 0
             for pos, end in enumerate(chunk_ends(text)):
                 part = text[start:end]
                 key = _key(part)
-                out.append((None, mark, pos, key, None))
-                if first(b"c" + key):
-                    out.append((None, None, None, key, part))
+                out.append((None, mark, pos, key, place, part if first(b"c" + key) else None))
+                place += 1
                 start = end
             if len(out) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CHUNK.types, strict=True)], schema=CHUNK)
+                yield _batch(out, CHUNK)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CHUNK.types, strict=True)], schema=CHUNK)
+            yield _batch(out, CHUNK)
 
 
-ENCODED = pa.schema([("doc", pa.binary()), ("pos", pa.int32()), ("head", pa.string()), ("body", pa.binary()), ("tail", pa.string())])
-ENCODED_DDL = "doc binary, pos int, head string, body binary, tail string"
+ENCODED = pa.schema([("doc", pa.binary()), ("pos", pa.int32()), ("chunk", pa.binary()), ("head", pa.string()), ("body", pa.binary()), ("size", pa.int32()), ("tail", pa.string())])
+ENCODED_DDL = "doc binary, pos int, chunk binary, head string, body binary, size int, tail string"
 SURE = re.compile(r"\S(?=[ \n])")
 
 
@@ -170,36 +180,30 @@ def sure_places(text: str) -> tuple[int, int] | None:
     return (first, last) if last > first else None
 
 
-def encode_chunk(enc: Encoder, text: str) -> tuple[str, bytes | None, str | None]:
+def encode_chunk(enc: Encoder, text: str) -> tuple[str, np.ndarray | None, str | None]:
     """(text before the first sure place, ids up to the last, text after it); without two such places only the text."""
     places = sure_places(text)
     if places is None:
         return text, None, None
     first, last = places
-    return text[:first], np.array(enc.encode(text[first:last]), enc.narrow).tobytes(), text[last:]
+    return text[:first], np.array(enc.encode(text[first:last]), enc.narrow), text[last:]
 
 
-def _encode(directory: str, name: str):
+def _encode(directory: str, name: str, sizes: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(directory, name)
-        known: dict[bytes, tuple] = {}
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("doc", "pos", "chunk", "text")]
-            for doc, pos, key, text in zip(*columns, strict=True):
-                made = known.get(key)
-                if made is None:
-                    if len(known) >= KEPT_CHUNKS:
-                        known.clear()
-                    made = known[key] = encode_chunk(enc, text)
-                out.append((doc, pos, *made))
+            for doc, pos, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "pos", "chunk", "text")), strict=True):
+                head, ids, tail = encode_chunk(enc, text)
+                out.append((doc, pos, key, head, None if ids is None or sizes else ids.tobytes(), None if ids is None else len(ids), tail))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ENCODED.types, strict=True)], schema=ENCODED)
+                yield _batch(out, ENCODED)
 
     return encode
 
 
-def join_chunks(enc: Encoder, chunks: Iterable[tuple[str, bytes | None, str | None]]) -> list[np.ndarray]:
+def join_chunks(enc: Encoder, chunks: Iterable[tuple[str, bytes | np.ndarray | None, str | None]]) -> list[np.ndarray]:
     """Ids of a text from its encoded chunks in order."""
     out: list[np.ndarray] = []
     pending = ""
@@ -213,27 +217,67 @@ def join_chunks(enc: Encoder, chunks: Iterable[tuple[str, bytes | None, str | No
     return out
 
 
-def _join(directory: str, name: str):
+def joined_size(enc: Encoder, chunks: Iterable[tuple[str, int | None, str | None]]) -> int:
+    """How many ids :func:`join_chunks` would give, from the chunks' sizes."""
+    total, pending = 0, ""
+    for head, size, tail in chunks:
+        pending += head
+        if size is not None:
+            total += len(enc.encode(pending)) + size
+            pending = tail or ""
+    return total + len(enc.encode(pending))
+
+
+def _join(directory: str, name: str, sizes: bool):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(directory, name)
-        last: tuple[bytes, np.ndarray] | None = None
         for batch in batches:
             lists = batch.column("parts")
             flat, ends = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-            pos, head, body, tail = (flat.field(c).to_pylist() for c in ("pos", "head", "body", "tail"))
+            pos, head, body, tail = (flat.field(c).to_pylist() for c in ("pos", "head", "size" if sizes else "body", "tail"))
             values = []
-            for row, mark in enumerate(batch.column("doc").to_pylist()):
-                if last is None or last[0] != mark:  # exact copies lie side by side
-                    at = sorted(range(ends[row], ends[row + 1]), key=pos.__getitem__)
-                    last = mark, np.concatenate(join_chunks(enc, ((head[i], body[i], tail[i]) for i in at)))
-                values.append(last[1])
-            offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-            ids = pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["doc_id", "ids"])
+            for row in range(batch.num_rows):
+                at = {pos[i]: i for i in range(ends[row], ends[row + 1])}  # a place may come from two tasks, alike
+                chunks = ((head[at[p]], body[at[p]], tail[at[p]]) for p in sorted(at))
+                values.append(joined_size(enc, chunks) if sizes else np.concatenate(join_chunks(enc, chunks)))
+            if sizes:
+                made = pa.array(values, pa.int64())
+            else:
+                offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+                ids = pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32))
+                made = pa.ListArray.from_arrays(pa.array(offsets), ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), batch.column("copies"), made], names=["doc", "doc_id", "copies", "value"])
 
     return join
 
 
+def _valued(df: DataFrame, directory: str, name: str, sizes: bool) -> DataFrame:
+    """doc_id and the ids, or their number, of every text that is not empty."""
+    found = cut(df.where("text <> ''").select("doc_id", "text").mapInArrow(_chunks, CHUNK_DDL))
+    texts = found.where("text is not null")
+    # Chunks that several tasks met are encoded where the first place stands; texts themselves are never shuffled.
+    several = texts.groupBy("chunk").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk", "first")
+    again = cut(texts.select("chunk", "place").join(several, "chunk").where("place > first").select("place"))
+    again = broadcast_if_small(again, BROADCAST_CHUNKS)
+    once = texts.join(again, "place", "left_anti").select("doc", "pos", "chunk", "text")
+    encoded = cut(once.mapInArrow(_encode(directory, name, sizes), ENCODED_DDL))
+    # Every other place takes its chunk's ids by the chunk's mark.
+    columns = ["doc", "pos", "chunk"]
+    others = cut(found.where("pos >= 0 and text is null").select(columns).unionByName(texts.join(again, "place", "left_semi").select(columns)).distinct())
+    shared = broadcast_if_small(others.select("chunk").distinct(), BROADCAST_CHUNKS)
+    piece = ["head", "body", "size", "tail"]
+    taken = others.join(encoded.join(shared, "chunk", "left_semi").select("chunk", *piece), "chunk").select("doc", "pos", *piece)
+    parts = encoded.select("doc", "pos", *piece).unionByName(taken).groupBy("doc").agg(F.collect_list(F.struct("pos", *piece)).alias("parts"))
+    # A text is assembled once, for the first of its documents; copies take the result, however many they are.
+    docs = found.where("pos = -1").select("doc_id", "doc")
+    first = docs.groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    kind = "bigint" if sizes else "array<int>"
+    whole = cut(first.join(parts, "doc").select("doc", "doc_id", "copies", "parts").mapInArrow(_join(directory, name, sizes), f"doc binary, doc_id bigint, copies bigint, value {kind}"))
+    copied = whole.where("copies > 1").select("doc", F.col("doc_id").alias("first"), "value")
+    copies = docs.distinct().join(copied, "doc").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return whole.select("doc_id", "value").unionByName(copies.select("doc_id", "value"))
+
+
 def encode_documents(df: DataFrame, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """doc_id and ids of each document, without special tokens.
 
@@ -241,15 +285,17 @@ def encode_documents(df: DataFrame, directory: str = TOKENIZER_DIR, name: str =
     encoded like any other, strings of special tokens are ordinary text, texts of any length are encoded whole.
     Exactly repeated rows give one row; one doc_id with different texts gives a row for each. An empty input gives none.
 
-    Texts are shuffled once, as distinct chunks, and ids once, to their document's parts; a chunk or text that very
-    many documents share meets only small rows on the other side of its join, which AQE splits.
+    Texts are written once, as the chunks that a task meets for the first time, and never shuffled; ids are shuffled once, to
+    their text's other parts. A chunk or text that very many documents share meets only small rows on the other
+    side of its join, which AQE splits.
+    """
+    empty = df.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
+    return _valued(df, directory, name, False).select("doc_id", F.col("value").alias("ids")).unionByName(empty)
+
+
+def measure_documents(df: DataFrame, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
+    """doc_id and size, the number of ids that :func:`encode_documents` gives, of every text that is not null or empty.
+
+    Made like the ids, but only the chunks' sizes and their ends travel.
     """
-    rows = df.select("doc_id", "text")
-    empty = rows.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
-    found = cut(rows.where("text <> ''").mapInArrow(_chunks, CHUNK_DDL))
-    texts = found.where("text is not null").select("chunk", "text").repartition("chunk").distinct()
-    places = found.where("pos >= 0").select("doc", "pos", "chunk").distinct()
-    encoded = places.join(texts, "chunk").select("doc", "pos", "chunk", "text").mapInArrow(_encode(directory, name), ENCODED_DDL)
-    parts = encoded.groupBy("doc").agg(F.collect_list(F.struct("pos", "head", "body", "tail")).alias("parts"))
-    docs = found.where("pos = -1").select("doc_id", "doc").distinct()
-    return docs.join(parts, "doc").select("doc_id", "doc", "parts").mapInArrow(_join(directory, name), "doc_id bigint, ids array<int>").unionByName(empty)
+    return _valued(df, directory, name, True).select("doc_id", F.col("value").alias("size"))

@@ -12,28 +12,35 @@ from pyspark.sql import functions as F
 
 from segloom.runtime import cut
 
-#: Letters of other scripts that look like a Latin letter, in both cases.
+#: Letters of other scripts that look like a Latin letter, chosen from the public list of confusable
+#: characters; only those whose usual shapes are the same.
 CYRILLIC = dict(zip("аеіјорсухѕԁԛԝһӏАВЕЅІЈКМНОРСТХУҮԌԚԜ", "aeijopcyxsdqwhlABESIJKMHOPCTXYYGQW", strict=True))
 GREEK = dict(zip("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovcjABEZHIKMNOPTYXCJ", strict=True))
+ARMENIAN = dict(zip("օսհոցՕՍՏ", "ouhngOUS", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+GEORGIAN = {"Ⴝ": "S"}
 #: Hyphens that look like the ASCII one.
 HYPHENS = "‐‑﹣"
+#: Letters that lose their dot under marks above, which stand for the dotted one with it.
+DOTTED = {"ı\u0307": "i", "ȷ\u0307": "j"}
 #: Characters without a shape of their own: soft hyphen, joiners, marks of direction, fillers, variation selectors.
 INVISIBLE = (
     r"­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿"
 )
-_UNSEEN = regex.compile(f"[{INVISIBLE}]")
-#: Longest match first: an emoji with its joiners stays whole; then a cluster of a base and its marks.
-CLUSTER = regex.compile(
-    r"\p{Extended_Pictographic}(?:[️⃣]|\p{EMod}|‍(?=\p{Extended_Pictographic})\p{Extended_Pictographic})*"
-    rf"|[\x00-\x7f]?[\p{{M}}{INVISIBLE}]+|[^\x00-\x7f][\p{{M}}{INVISIBLE}]*"
-)
+_UNSEEN = regex.compile(f"[{INVISIBLE}]+")
+#: Where a cluster has more than one character: marks and invisible ones after a base, and conjoining Hangul letters.
+_SPECIAL = regex.compile(rf"[\p{{M}}{INVISIBLE}]+|[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?")
+_PICTURE = regex.compile(r"[\p{Extended_Pictographic}\p{EMod}]")
+JOINER, PICTURE_STYLE, KEYCAP = "\u200d", "\ufe0f", "\u20e3"
+HANGUL = range(0xAC00, 0xAC00 + 11172)
 
 
 def rules() -> dict[str, str]:
     """The mapping of single characters, made from rules of the character database and the fixed values above.
 
-    Widths and presentation ligatures by their compatibility decomposition, every space of a fixed or
-    non-breaking kind to the plain one, hyphens, and look-alike letters.
+    Widths, presentation ligatures, Roman numerals and two-letter characters by their compatibility decomposition, every
+    space of a fixed or non-breaking kind to the plain one, hyphens, and look-alike letters.
     """
     table: dict[str, str] = {}
 
@@ -44,13 +51,18 @@ def rules() -> dict[str, str]:
     for code in range(0x80, 0x30000):
         c = chr(code)
         kind = unicodedata.decomposition(c).split(" ", 1)[0]
+        plain = _UNSEEN.sub("", unicodedata.normalize("NFKC", c))
+        name = unicodedata.name(c, "")
+        two_letters = kind == "<compat>" and name.startswith("LATIN ") and len(plain) == 2 and plain.isalpha()
         if unicodedata.category(c) == "Zs":
             add(c, " ")
-        elif kind in ("<wide>", "<narrow>") or 0xFB00 <= code <= 0xFB06:
-            add(c, unicodedata.normalize("NFKC", c))
+        elif kind in ("<wide>", "<narrow>") or 0xFB00 <= code <= 0xFB06 or two_letters:
+            add(c, plain)
+        elif kind == "<compat>" and name.startswith(("ROMAN NUMERAL", "SMALL ROMAN NUMERAL")):
+            add(c, plain)
     for c in HYPHENS:
         add(c, "-")
-    for letters in (CYRILLIC, GREEK):
+    for letters in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, GEORGIAN):
         for c, target in letters.items():
             add(c, target)
     return checked(table)
@@ -70,32 +82,111 @@ def checked(table: dict[str, str]) -> dict[str, str]:
     return table
 
 
+def sequences(table: dict[str, str]) -> dict[str, str]:
+    """The whole mapping, by decomposed source: ``table``, and every base with marks that has a composed form.
+
+    A base may be given by anything whose output ends in it: the marks of a composed letter compose with that too.
+    """
+    alike: dict[str, list[tuple[str, str]]] = {}
+    for source, target in table.items():
+        if target and len(unicodedata.normalize("NFD", source)) == 1:
+            alike.setdefault(target[-1], []).append((source, target[:-1]))
+    for source, target in DOTTED.items():
+        alike.setdefault(target, []).append((source, ""))
+    out: dict[str, str] = {}
+
+    def add(source: str, target: str) -> None:
+        if out.setdefault(source, target) != target:
+            raise ValueError(f"conflicting rules for {source!r}")
+
+    for source, target in table.items():
+        add(unicodedata.normalize("NFD", source), target)
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        given = unicodedata.decomposition(c)
+        if (not given or given.startswith("<")) and code not in HANGUL:
+            continue
+        source = unicodedata.normalize("NFD", c)
+        target = unicodedata.normalize("NFC", source)
+        if len(target) > 1 or len(source) == 1 or target in table or source[0] in table:
+            continue  # without a composed form marks stay apart; a mapped base composes as what it is mapped to
+        add(source, target)
+        for base, before in alike.get(source[0], ()):
+            marked = unicodedata.normalize("NFD", base) + source[1:]
+            if unicodedata.normalize("NFD", marked) == marked:
+                add(marked, before + target)
+    for source, target in DOTTED.items():
+        add(source, target)
+    return out
+
+
 class Transducer:
-    """One pass over grapheme clusters; what a cluster becomes is compiled once and kept."""
+    """A longest-match transducer over grapheme clusters, compiled into a trie of the mapping's sources.
+
+    Clusters of one character, most of all, have their output compiled in beforehand; only those of several
+    run through the trie, decomposed and without invisible characters.
+    """
 
     def __init__(self, table: dict[str, str] | None = None, kept: int = 100_000):
-        self.table = rules() if table is None else table
-        self.compiled: dict[str, str] = {}
+        table = rules() if table is None else table
+        self.root: dict = {}
+        for source, target in sequences(table).items():
+            node = self.root
+            for c in source:
+                node = node.setdefault(c, {})
+            node[""] = target
         self.kept = kept
+        self.met: dict[str, str] = {}
+        single = {ord(c): t for c, t in table.items()}
+        for code in range(0x80, 0x30000):
+            if code not in HANGUL and (given := unicodedata.decomposition(chr(code))) and not given.startswith("<"):
+                single[code] = self.match(chr(code))
+        self.single = {code: target for code, target in single.items() if target != chr(code)}
 
-    def _compile(self, cluster: str) -> str:
-        if regex.match(r"\p{Extended_Pictographic}", cluster) and len(cluster) > 1:
-            return cluster
-        seen = _UNSEEN.sub("", cluster)
-        composed = unicodedata.normalize("NFD", "".join(self.table.get(c, c) for c in unicodedata.normalize("NFC", seen)))
-        return unicodedata.normalize("NFC", "".join(self.table.get(c, c) for c in composed))
+    def match(self, cluster: str) -> str:
+        """Output of one cluster: at each place the longest source that fits, else the character itself."""
+        text = unicodedata.normalize("NFD", _UNSEEN.sub("", cluster))
+        out, at, n = [], 0, len(text)
+        while at < n:
+            node, best, end = self.root, text[at], at + 1
+            for j in range(at, n):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                if "" in node:
+                    best, end = node[""], j + 1
+            out.append(best)
+            at = end
+        return "".join(out)
 
-    def _cluster(self, m) -> str:
-        c = m[0]
-        out = self.compiled.get(c)
+    def _cluster(self, cluster: str) -> str:
+        out = self.met.get(cluster)
         if out is None:
-            if len(self.compiled) >= self.kept:
-                self.compiled.clear()
-            out = self.compiled[c] = self._compile(c)
+            if len(self.met) >= self.kept:
+                self.met.clear()
+            out = self.met[cluster] = self.match(cluster)
         return out
 
     def __call__(self, text: str) -> str:
-        return text if text.isascii() else CLUSTER.sub(self._cluster, text)
+        if text.isascii():
+            return text
+        out: list[str] = []
+        at = 0
+        for m in _SPECIAL.finditer(text):
+            start, end = m.span()
+            marks = not "\u1100" <= m[0][0] <= "\u1112"
+            begin = start - 1 if marks and start > at else start
+            out.append(text[at:begin].translate(self.single))
+            base = text[begin:start]
+            if base and _PICTURE.match(base):
+                # A picture keeps its style and its joiner, if another picture follows.
+                joined = m[0].endswith(JOINER) and end < len(text) and _PICTURE.match(text[end])
+                out.append(base + "".join(c for c in m[0] if c in (PICTURE_STYLE, KEYCAP) or not _UNSEEN.match(c)) + (JOINER if joined else ""))
+            else:
+                out.append(self._cluster(text[begin:end]))
+            at = end
+        out.append(text[at:].translate(self.single))
+        return "".join(out)
 
 
 _SHARED: list[Transducer] = []
@@ -128,21 +219,50 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(_normal, "doc_id bigint, text string, normal_text string")
 
 
-def alike_pairs(df: DataFrame) -> DataFrame:
-    """Pairs doc_id_a < doc_id_b whose texts look alike but are not the same string.
-
-    Texts meet by a 128-bit hash of their common form and of themselves; only forms with more than one spelling are joined, so
-    groups of exact copies cost one pre-aggregated row each. Null and empty texts are no case.
-    """
+def _spelled(df: DataFrame) -> DataFrame:
+    """doc_id with the 128-bit hashes of its text's common form and of the text itself; null and empty texts are left out."""
     digest = lambda c: F.unhex(F.md5(c))
-    keyed = cut(
+    return cut(
         normalised(df.where("text is not null and text <> ''"))
         .where("normal_text <> ''")
         .select("doc_id", digest("normal_text").alias("form"), digest("text").alias("spelling"))
     )
-    several = keyed.groupBy("form").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("form")
-    open_forms = keyed.join(several, "form", "left_semi").distinct()
-    a = open_forms.select("form", F.col("doc_id").alias("doc_id_a"), F.col("spelling").alias("spelling_a"))
-    b = open_forms.select("form", F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("spelling_b"))
-    joined = a.join(b, "form").where("doc_id_a < doc_id_b and spelling_a <> spelling_b")
-    return joined.select("doc_id_a", "doc_id_b")
+
+
+def _classes(spelled: DataFrame) -> DataFrame:
+    """Forms with more than one spelling: form, class_id, spellings, documents.
+
+    Counted by spelling first, so that a form of very many documents costs a row a spelling.
+    """
+    by_spelling = spelled.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    by_form = by_spelling.groupBy("form").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("documents"))
+    return by_form.where("spellings > 1")
+
+
+def alike_classes(df: DataFrame) -> DataFrame:
+    """Documents whose text looks like a different string's: doc_id, class_id, same_as, spellings, documents.
+
+    Documents that look alike have one ``class_id``, the least doc_id among them; exact copies also have one ``same_as``. Null and
+    empty texts are no case, repeated rows are documents of their own, an empty input gives no row.
+    The size of the result is that of the input, however many copies a form has.
+    """
+    spelled = _spelled(df)
+    first = spelled.groupBy("spelling").agg(F.min("doc_id").alias("same_as"))
+    return spelled.join(_classes(spelled), "form").join(first, "spelling").select("doc_id", "class_id", "same_as", "spellings", "documents")
+
+
+def alike_pairs(df: DataFrame) -> DataFrame:
+    """Pairs doc_id_a < doc_id_b whose texts look alike but are not the same string.
+
+    Made from classes: spellings of one form are paired, one row each whatever their copies, and then joined with their
+    documents by the spelling, so that a form of many documents is spread over its spellings and AQE splits those. The
+    result names every pair, as its definition asks; :func:`alike_classes` says the same in one row a document.
+    """
+    spelled = _spelled(df)
+    members = spelled.join(_classes(spelled).select("form"), "form", "left_semi").distinct()
+    spellings = members.select("form", "spelling").distinct()
+    one, two = (spellings.select("form", F.col("spelling").alias(c)) for c in ("one", "two"))
+    pairs = one.join(two, "form").where("one < two").select("one", "two")
+    a, b = (members.select(F.col("spelling").alias(c), F.col("doc_id").alias(d)) for c, d in (("one", "a"), ("two", "b")))
+    found = pairs.join(a, "one").join(b, "two").where("a <> b")
+    return found.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

@@ -83,11 +83,21 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(load(spark, d, "segments"))
 
 
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many contents were found for which reason, and what the trie said of their last tokens."""
+    return truncation.truncated(load(spark, d, "segments")).groupBy("reason", "verdict").agg(F.count(F.lit(1)).alias("contents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look alike."""
     return lookalike.alike_pairs(load(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look like others, with their class."""
+    return lookalike.alike_classes(load(spark, d, "documents"))
+
+
 def p9_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every document in its one form."""
     return lookalike.normalised(load(spark, d, "documents")).select("doc_id", "normal_text")
@@ -100,8 +110,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_bins(spark: SparkSession, d: str) -> DataFrame:
     """Container of every document."""
-    ids = encoding.encode_documents(load(spark, d, "documents"))
-    return packing.pack_items(ids.select("doc_id", F.size("ids").alias("size")))
+    return packing.pack_items(encoding.measure_documents(load(spark, d, "documents")))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -120,8 +129,10 @@ QUERIES = {
     "p3_cutoffs": p3_cutoffs,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
+    "p5_reasons": p5_reasons,
     "p9_found": p9_found,
     "p9_texts": p9_texts,
+    "p9_classes": p9_classes,
     "p1_found": p1_found,
     "p1_turns": p1_turns,
     "p4_found": p4_found,

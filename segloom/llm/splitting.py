@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from segloom.functions.timecode import offset_ms
 
 TIMELINE_LIMIT = 25_000
 CONTENT_LIMIT = 1_200
@@ -44,6 +45,15 @@ class RangeMax:
         best = int(max(level[low], level[high - (1 << k) + 1]))
         return best % self.width, best // self.width
 
+    def strengths(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Greatest strength in each window low..high; -1 for an empty window."""
+        out = np.full(len(low), -1, np.int64)
+        length = np.maximum(high - low + 1, 0)
+        for k, level in enumerate(self.levels):
+            at = np.flatnonzero((length >= 1 << k) & (length < 2 << k))
+            out[at] = np.maximum(level[low[at]], level[high[at] - (1 << k) + 1]) // self.width
+        return out
+
 
 def cut_points(strengths: np.ndarray, costs: np.ndarray, limit: int, overlap: int, least: float = 0.5) -> list[tuple[int, int, int]]:
     """Pieces (start, end, strength of the cut at end) of a sequence of units with the given costs.
@@ -86,15 +96,41 @@ def text_strengths(text: str) -> np.ndarray:
     return s
 
 
-def coarsest_boundary(text: str, limit: int) -> int:
-    """The coarsest of paragraph, sentence, word of which every unit has at most ``limit`` code points."""
-    paragraphs = [p for p in BLANK_LINE.split(text) if p]
-    fits = lambda units: all(len(u.strip()) <= limit for u in units)
-    if fits(paragraphs):
-        return PARAGRAPH
-    if fits(u for p in paragraphs for u in SENTENCE_END.split(p)):
-        return SENTENCE
-    return WORD if fits(text.split()) else NONE
+def blanks(text: str, strengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and strongest cut of each stretch of white space that parts two pieces of text."""
+    strengths = text_strengths(text) if strengths is None else strengths
+    found = [m.span() for m in SPACE.finditer(text) if m.start() > 0 and m.end() < len(text)]
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    start, end = np.array(found, np.int64).T
+    # A blank line may end before the stretch does; the strongest cut inside the stretch counts.
+    best = np.maximum.reduceat(strengths, np.stack((start + 1, end + 1), 1).ravel())[::2]
+    return start, end, best.astype(np.int64)
+
+
+def coarsest_boundary(text: str, limit: int, strengths: np.ndarray | None = None, block: int = 1 << 15) -> int:
+    """The strongest class of which every gap between cuts of that class or stronger is at most ``limit`` code points.
+
+    Asked of the range-maximum table: from each cut of a class, or the text's begin, is there a cut as strong within
+    the limit, or else the text's end? White space around a unit does not count. The table is built over
+    blocks of cuts, so it stays small for a text of any length.
+    """
+    start, end, strength = blanks(text, strengths)
+    low, high = len(text) - len(text.lstrip()), len(text.rstrip())
+    begins = np.concatenate(([low], end))
+    rated = np.concatenate(([PARAGRAPH], strength))
+    reach = np.full(len(begins), -1, np.int64)  # the strongest cut that ends a unit begun here within the limit
+    for at in range(0, len(begins), block):
+        some = np.arange(at, min(at + block, len(begins)))
+        last = np.searchsorted(start, begins[some] + limit, side="right") - 1
+        if last.max() >= some[0]:
+            table = RangeMax(strength[some[0] : last.max() + 1], len(strength))
+            reach[some] = table.strengths(some - some[0], last - some[0])
+    reach[high - begins <= limit] = PARAGRAPH
+    for kind in (PARAGRAPH, SENTENCE, WORD):
+        if (reach[rated >= kind] >= kind).all():
+            return kind
+    return NONE
 
 
 def split_text(text: str, limit: int = CONTENT_LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
@@ -134,11 +170,12 @@ PIECE_DDL = "timeline_id bigint, seg_pos int, boundary string, piece int, piece_
 
 
 def segment_strengths(segments: list[dict]) -> np.ndarray:
-    """Cuts between segments: strongest where the speaker or scene pauses, seen as a change of type and a new start."""
+    """Cuts between segments: strongest where the one before has ended when the next begins, then where the type changes."""
     s = np.full(len(segments) + 1, WORD, np.int8)
     for i in range(1, len(segments)):
         a, b = segments[i - 1] or {}, segments[i] or {}
-        if a.get("end") is not None and b.get("start") is not None and b["start"] > a["end"]:
+        until, begin = offset_ms(a.get("end")), offset_ms(b.get("start"))
+        if until is not None and begin is not None and begin > until:
             s[i] = PARAGRAPH
         elif a.get("type") != b.get("type"):
             s[i] = SENTENCE

@@ -124,6 +124,36 @@ def test_coarsest_boundary():
     assert of("p " * 9 + "\n\n" + "q r. " * 6) == "sentence"
 
 
+def plain_boundary(text, limit):
+    """By taking the text apart, class by class."""
+    paragraphs = splitting.BLANK_LINE.split(text)
+    fits = lambda units: all(len(u.strip()) <= limit for u in units)
+    if fits(paragraphs):
+        return splitting.PARAGRAPH
+    if fits(u for p in paragraphs for u in splitting.SENTENCE_END.split(p)):
+        return splitting.SENTENCE
+    return splitting.WORD if fits(text.split()) else splitting.NONE
+
+
+def test_boundary_from_the_table_is_that_of_the_parts():
+    rnd = random.Random(12)
+    seen = set()
+    for _ in range(6000):
+        signs = rnd.choice(["ab .\n", "abcdef. \n\n", "ab\r\n\t.! ", "abcdefghi \u00a0", "ab?\n\n\n  c"])
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60)))
+        limit, block = rnd.randint(1, 20), rnd.choice([1, 2, 7, 1000])
+        got = splitting.coarsest_boundary(text, limit, block=block)
+        assert got == plain_boundary(text, limit), (text, limit)
+        seen.add(got)
+    assert len(seen) == 4
+
+
+def test_segment_cuts_compare_offsets():
+    seg = lambda a, b: {"type": "speech", "start": a, "end": b, "content": ""}
+    s = splitting.segment_strengths([seg("0:00", "9:00"), seg("10:00", "10:05"), seg("00:10:05.000", "x"), seg("1:00:00", "1:00:01")])
+    assert s.tolist() == [splitting.WORD, splitting.PARAGRAPH, splitting.WORD, splitting.WORD, splitting.WORD]
+
+
 def test_timelines(spark):
     seg = lambda n, t="speech": {"type": t, "start": "00:00:01.000", "end": "00:00:02.000", "content": None if n is None else "ab. " * (n // 4)}
     schema = "timeline_id bigint, segments array<struct<type: string, start: string, end: string, content: string>>, piece int"
@@ -140,8 +170,15 @@ def test_endings():
         "He went.": "closed", "He went. (12)": "closed", "Why? [laughs]": "closed", 'Title card: "X"': "closed", "Anna: um,": "closed", "[laughs]": "closed", "Anna - er": "closed",
         "I thought --": "dash", "I thought—": "dash", "I thought...": "dots", "I thought …": "dots", "He went to the": "open", "He went, and,": "open", "He we&am": "broken", "He we�": "broken", "He we\\u00": "broken", "So (door clo": "open",
     }
+    long = "The camera went on and on. " * 40
+    kinds |= {"One more thing. *": "open", "**Anna:**": "closed", "Host | uh": "closed"}
     for text, kind in kinds.items():
         assert truncation.ending(text)[0] == kind, text
+        assert truncation.ending(long + text)[0] == kind, text  # the same end means the same after a long text
+    word = "abcdefghij" * 20
+    assert truncation.ending(long + word) == ("open", word) and truncation.ending(f"{word}&am") == ("broken", word)
+    assert truncation.ending("so it's Anna’s") == ("open", "anna’s") and truncation.ending("x '") == ("open", "")
+    assert truncation.ending("went\"" + "”" * 60)[0] == "closed" and truncation.ending("so..." + ")" * 60)[0] == "dots" and truncation.ending("He w" + "\ufffd" * 90) == ("broken", "w")
 
 
 def test_truncated(spark):
@@ -161,19 +198,80 @@ def test_truncated(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_words_of_any_length_and_any_corpus_size(spark):
+    """One rule at every size: a slip as frequent, in proportion, as in the small corpus stays unknown in the large one."""
+    tail = "wort" * 40
+    for times in (1, 20):
+        rows = [(i, "speech", "plain", f"the gardener saw {tail}ende and the corridor again", "a") for i in range(4000 * times)]
+        rows += [(10**6 + i, "speech", "plain", "the gard saw it", "a") for i in range(4 * times)]
+        rows += [(2 * 10**6 + i, "speech", "plain", t, "a") for i, t in enumerate(["we met the gard", f"he said {tail[:100]}", f"he said {tail}ende", "the corri", "we met again"])]
+        got = truncation.truncated(spark.createDataFrame(rows, SEGMENTS)).collect()
+        assert {(r.seg_id - 2 * 10**6, r.reason, r.verdict) for r in got} == {(0, "word", "cut"), (1, "word", "cut"), (3, "word", "cut")}
+
+
+PLANTED = "camera gardener umbrella restless corridor ceiling measures patience workshop harbour lantern telescope generous regional festival".split()
+
+
+@pytest.mark.parametrize("size", [1_000, 10_000, 100_000])
+def test_planted_cuts_at_three_sizes(spark, size):
+    rnd = random.Random(size)
+    sentence = lambda n: " ".join(rnd.choice(PLANTED) for _ in range(n))
+    rows, true = [], set()
+    for i in range(size):
+        kind = i % 10
+        text = sentence(rnd.randint(4, 12))
+        if kind < 5:
+            text = text.capitalize() + "."
+            if rnd.random() < 0.1:
+                text, _ = text[: rnd.randint(12, len(text) - 2)].rstrip(), true.add(i)
+            rows.append((i, "visual", "prose", text, "a"))
+        elif kind < 8:
+            if rnd.random() < 0.1 and len(cut := text[: -rnd.randint(1, 4)]) and cut.split()[-1] not in PLANTED:
+                text, _ = cut, true.add(i)
+            rows.append((i, "speech", "plain", text, "a"))
+        else:
+            rows.append((i, "speech", "spoken", rnd.choice([text + "...", text + " --", "um", f"Anna: {text}.", "[laughs]"]), "a"))
+    got = {r.seg_id for r in truncation.truncated(spark.createDataFrame(rows, SEGMENTS)).collect()}
+    assert len(got & true) >= 0.995 * len(true) and len(got & true) >= 0.995 * len(got)
+
+
 def test_lookalikes():
     run = lookalike.Transducer()
     same = [("ＨＥＬＬＯ：１", "HELLO:1"), ("naïve", "naïve"), ("a​b⁠c﻿", "abc"), ("x y z", "x y z"), ("сосоа", "cocoa"), ("Ångström", "Ångström"),
-            ("brieﬂy", "briefly"), ("QV‑‐", "QV--"), ("sof­t", "soft"), ("с̧a", "ça"), ("ΟΝΕ", "ONE")]
+            ("brieﬂy", "briefly"), ("QV‑‐", "QV--"), ("sof­t", "soft"), ("с̧a", "ça"), ("ΟΝΕ", "ONE"),
+            ("Ⅷ Ⅴ ⅻ", "VIII V xii"), ("ǆ ĳ", "dž ij"), ("ᎪႽꓮ", "ASA"), ("ı\u0307 ȷ\u0307", "i j"), ("ї", "і\u0308"), ("한글", "\u1112\u1161\u11ab\u1100\u1173\u11af"),
+            ("a\u0323\u0301", "a\u0301\u0323"), ("е\u0301x", "éx"), ("K Å", "K Å"), ("\u0301a", "\u0301\u200ba"), ("ｅ\u0301", "é")]
     for a, b in same:
         assert run(a) == run(b) == run(run(a)), (a, b)
     for a, b in [("resume", "résumé"), ("½", "1/2"), ("x²", "x2"), ("Case", "case"), ("„a“", '"a"'), ("a–b", "a-b"), ("👩‍🎤", "👩🎤"), ("a\r\nb", "a\nb"), ("0", "O"), ("№", "No")]:
         assert run(a) != run(b), (a, b)
     assert run("👩‍🎤") == "👩‍🎤" and run("we‍ek") == "week"
+    assert run("👩🏽‍🎤 ❤️‍🔥 1️⃣") == "👩🏽‍🎤 ❤️‍🔥 1⃣" and run("❤️") != run("❤")
     with pytest.raises(ValueError):
         lookalike.checked({"a": "b", "b": "a"})
+    with pytest.raises(ValueError):
+        lookalike.sequences({"\u00e9": "x", "e\u0301": "y"})
 
 
+def test_longest_match_against_plain_search():
+    run = lookalike.Transducer()
+    table = lookalike.sequences(lookalike.rules())
+    assert all(run.match(source) == target == run.match(target) for source, target in table.items())
+    rnd = random.Random(10)
+    signs = ["a", "e", "с", "і", "ı", "Ⅷ", "ｅ", "\u0301", "\u0308", "\u0323", "\u0307", "\u0327", "\u200b", "\u00ad", "é", "ї", "ﬂ", " ", "\u00a0", "x", "🎬", "\u200d", "ё"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randint(1, 12)))
+        once = run(text)
+        assert run(once) == once, ascii(text)
+        if "🎬" in text:
+            continue
+        plain, want, at = lookalike.unicodedata.normalize("NFD", lookalike._UNSEEN.sub("", text)), [], 0
+        while at < len(plain):
+            end = next((e for e in range(min(len(plain), at + 5), at, -1) if plain[at:e] in table), at + 1)
+            want.append(table.get(plain[at:end], plain[at:end]))
+            at = end
+        assert once == "".join(want), ascii(text)
+
 def test_alike_pairs(spark):
     rows = [(1, "abc"), (2, "a​bc"), (3, "abc"), (4, "ａbc"), (5, None), (6, ""), (7, "​"), (8, "abd"), (2, "a​bc"), (9, "Abc")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, form string")
@@ -181,6 +279,18 @@ def test_alike_pairs(spark):
     assert got == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
     assert lookalike.alike_pairs(df.limit(0)).count() == 0
     assert lookalike.normalised(df).count() == len(rows)
+    classes = {tuple(r) for r in lookalike.alike_classes(df).collect()}
+    assert classes == {(d, 1, s, 3, 5) for d, s in ((1, 1), (3, 1), (2, 2), (4, 4))}
+    assert lookalike.alike_classes(df.limit(0)).count() == 0
+
+
+def test_one_form_of_very_many_copies(spark):
+    from pyspark.sql import functions as F
+
+    text = F.when(F.col("id") % 2 == 0, F.lit("Yes")).otherwise(F.lit("Yеs"))
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    out = lookalike.alike_classes(df).groupBy("class_id", "same_as", "spellings", "documents").count().collect()
+    assert sorted(tuple(r) for r in out) == [(0, 0, 2, 100_000, 50_000), (0, 1, 2, 100_000, 50_000)]
 
 
 def test_words():

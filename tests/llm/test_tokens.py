@@ -19,7 +19,9 @@ def joined(enc, text):
     for end in encoding.chunk_ends(text):
         parts.append(encoding.encode_chunk(enc, text[start:end]))
         start = end
-    return np.concatenate(encoding.join_chunks(enc, parts)).tolist()
+    ids = np.concatenate(encoding.join_chunks(enc, parts)).tolist()
+    assert encoding.joined_size(enc, [(h, None if b is None else len(b), t) for h, b, t in parts]) == len(ids)
+    return ids
 
 
 def test_tiny_chunks_join_exactly(enc, monkeypatch):
@@ -46,10 +48,29 @@ def test_documents(spark, enc):
     long = "The camera holds on a rivet. " * 4000
     rows = [(1, "Hello  world"), (2, None), (3, ""), (4, " \n"), (5, long), (6, long), (7, "<|endoftext|>"), (1, "Hello  world"), (8, "x" * 30_000)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id bigint, text string, chunk string")
-    got = {r.doc_id: r.ids for r in encoding.encode_documents(df).collect()}
-    assert got == {i: enc.bpe.encode_ordinary(t) if t else [] for i, t in rows}
-    assert encoding.encode_documents(df).count() == 8
-    assert encoding.encode_documents(df.limit(0)).count() == 0
+    want = {i: enc.bpe.encode_ordinary(t) if t else [] for i, t in rows}
+    for parts in (1, 5):
+        out = encoding.encode_documents(df.repartition(parts)).collect()
+        assert {r.doc_id: r.ids for r in out} == want and len(out) == 8
+        sizes = encoding.measure_documents(df.repartition(parts)).collect()
+        assert sorted((r.doc_id, r.size) for r in sizes) == sorted((i, len(x)) for i, x in want.items() if x)
+    assert encoding.encode_documents(df.limit(0)).count() == encoding.measure_documents(df.limit(0)).count() == 0
+
+
+def test_shared_chunks_and_copies_in_many_tasks(spark, enc):
+    rnd = random.Random(11)
+    body = [" ".join(rnd.choice(["camera", "holds", "on", "it's", "a", "rivet", "1984", "\n\n"]) for _ in range(400)) for _ in range(6)]
+    texts = ["".join(rnd.sample(body, 3)) for _ in range(60)] + [body[0]] * 300 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for parts in (2, 9):
+        got = {r.doc_id: r.ids for r in encoding.encode_documents(df.repartition(parts)).collect()}
+        assert got == {i: enc.bpe.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+
+
+def test_ids_given_twice(spark, enc):
+    df = spark.createDataFrame([(1, "one text"), (1, "another"), (1, "one text"), (None, "no id"), (None, "no id"), (2, "no id")], "doc_id bigint, text string")
+    got = [(r.doc_id, enc.bpe.decode(r.ids)) for r in encoding.encode_documents(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "one text"), (1, "another"), (None, "no id"), (2, "no id")], key=repr)
 
 
 def test_first_fit_decreasing_is_the_plain_one():
