@@ -62,7 +62,7 @@ def run_format(args, client: cfg.ClientConfig, cache: Path, key: str, post=post_
     formatter = ChatFormatter(client.openai.endpoint, key, args.model or client.openai.model, client.openai.max_tokens, post)
     out = args.output or format_output(path, str(cache))
     Path(out).parent.mkdir(parents=True, exist_ok=True)
-    Path(out).write_text(format_timeline(timeline, formatter, system, args.prompt_id))
+    Path(out).write_text(format_timeline(timeline, formatter, system, args.prompt_id, lambda s: print(s, file=sys.stderr)))
     return out
 
 

@@ -81,15 +81,17 @@ def responses_text(answer: dict) -> str:
     return "\n\n".join(c["text"] for c in items if c.get("type") == "output_text")
 
 
-def format_timeline(timeline: dict, formatter: ChatFormatter, system: str, prompt_id: str | None = None) -> str:
-    """Markdown of a timeline: whole with a stored prompt, else whole or in sections by its estimated size."""
+def format_timeline(timeline: dict, formatter: ChatFormatter, system: str, prompt_id: str | None = None, say: Callable[[str], None] = lambda s: None) -> str:
+    """Markdown of a timeline: whole with a stored prompt, else whole or in sections by its estimated size; tells each section."""
     body = json.dumps(timeline, ensure_ascii=False, separators=(",", ":"))
     if prompt_id:
         return formatter.stored(prompt_id, body)
     if len(body.encode()) // 4 <= SECTION_TOKENS:
         return formatter.chat(system, body)
     out: list[str] = []
-    for part in sections_of(timeline):
+    parts = sections_of(timeline)
+    for i, part in enumerate(parts, 1):
+        say(f"section {i}/{len(parts)}, {len(part['segments'])} segments")
         prompt = CONTINUATION_BEFORE + header_of(out[0]) + CONTINUATION_AFTER if out else system
         out.append(formatter.chat(prompt, json.dumps(part, ensure_ascii=False, separators=(",", ":"))))
     return "\n\n".join(out)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segloom.config import Media, Vision
 from segloom.functions import text as T
 from segloom.functions.timecode import chunk_name, format_timestamp, parse_timestamp
 from segloom.operators import chunking, guards, prompts, resume, sections
 from segloom.operators import jobs as job_ops
 from segloom.operators import segments as seg_ops
 from segloom.runtime import load
+from segloom.sources import media, store
 
 SEGMENT_COLUMNS = ["seg_id", "job_id", "chunk_index", "ord", "type", "start_time", "end_time", "content"]
 
@@ -279,6 +281,35 @@ def persisted_results(spark: SparkSession, d: str) -> DataFrame:
     return resume.persisted_results(jobs(spark, d), load(spark, d, "timelines")).select("job_id", "timeline_id", "status")
 
 
+def results_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """How many stored results a start finds for each profile."""
+    done = jobs(spark, d).where("status = 'completed'").select("id", "profile").distinct()
+    found = resume.persisted_results(jobs(spark, d), load(spark, d, "timelines"))
+    return found.join(done, found["job_id"] == done["id"]).groupBy("profile").agg(F.count(F.lit(1)).alias("loaded"))
+
+
+def checkpoint_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Segments written as bodies of checkpoints, some of another version, and read back."""
+    one = F.struct("ord", "seg_id", "type", F.col("start_time").alias("start"), F.col("end_time").alias("end"), "content")
+    items = F.transform(F.array_sort(F.collect_list(one)), lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["content"].alias("content")))
+    chunked = segments(spark, d).groupBy("job_id", "chunk_index").agg(items.alias("segments"))
+    version = F.when(F.col("chunk_index") % 3 == 2, 2).otherwise(1)
+    bodies = chunked.select("job_id", F.to_json(F.struct(version.alias("version"), "chunk_index", "segments")).alias("value"))
+    return store.segment_rows(store.checkpoint_bodies(bodies))
+
+
+def extract_commands(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("/in/"), "job_id", F.lit(".mp4"))
+    rows = chunks(spark, d).select("job_id", path.alias("path"), F.concat(F.lit("/jobs/"), "job_id").alias("job_dir"), "chunk_index", "start_seconds", "end_seconds")
+    return media.extract_commands(rows, Media(), Vision())
+
+
+def probe_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Durations read from answers of the probe, some of which name none."""
+    body = F.to_json(F.struct(F.struct(F.col("duration_seconds").cast("string").alias("duration"), F.lit("mp4").alias("format_name")).alias("format")))
+    return load(spark, d, "timelines").select("timeline_id", media.probed_duration(body).alias("seconds"))
+
+
 def job_results(spark: SparkSession, d: str) -> DataFrame:
     return resume.job_results(jobs(spark, d), load(spark, d, "timelines"))
 
@@ -330,6 +361,6 @@ QUERIES = {
         response_texts, chat_requests, chat_answers, event_properties, pack_sections, pack_sections_small, stitched_sections, token_estimate, header_context,
         byte_cut, unicode_trim, resume_antijoin, resume_left, source_hash, cache_semijoin, cache_misses, cache_list, output_paths,
         format_selectors, error_texts, uuid_valid, segment_validation, model_present, pcm_normalise, recogniser_times,
-        persisted_results, job_results, job_fold, status_changes, cancel_all, job_summary, stage_union,
+        persisted_results, results_loaded, checkpoint_rows, extract_commands, probe_answers, job_results, job_fold, status_changes, cancel_all, job_summary, stage_union,
     )
 }

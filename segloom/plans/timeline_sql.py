@@ -77,6 +77,10 @@ LOG = """log as (
 )"""
 
 
+def plain_number(x: str) -> str:
+    return f"(case when {x} = floor({x}) then cast(cast({x} as bigint) as varchar) else cast({x} as varchar) end)"
+
+
 def packed(budget: int) -> str:
     return f"""with recursive item as (
   select timeline_id, unnest(segments) as s, generate_subscripts(segments, 1) as i from timelines
@@ -178,6 +182,16 @@ ORACLE = {
     "pcm_normalise": "select event_id, cast((event_id * 7919 % 65536 - 32768) as float) / cast(32767 as float) as sample from events",
     "recogniser_times": f"with {CHUNKS} select job_id, chunk_index, start_seconds + cast(floor((end_seconds - start_seconds) * 50) as bigint) / 100.0::double as middle_s from chunk_rows",
     "persisted_results": "select t.job_id, t.timeline_id, j.status from timelines t join (select distinct id, status from jobs where status = 'completed') j on t.job_id = j.id",
+    "results_loaded": """select j.profile, count(*) as loaded from timelines t
+      join (select distinct id, profile from jobs where status = 'completed') j on t.job_id = j.id group by j.profile""",
+    "checkpoint_rows": f"""with {SEGS} select job_id, cast(chunk_index as bigint) as chunk_index,
+      cast(row_number() over (partition by job_id, chunk_index order by ord, seg_id) - 1 as integer) as ord, type, start_time as start, end_time as "end", content
+      from segs where chunk_index % 3 <> 2""",
+    "extract_commands": f"""with {CHUNKS}, n as (select job_id, cast(chunk_index as bigint) as chunk_index, printf('/jobs/%s/chunk_%03d', job_id, chunk_index) as folder,
+        '-y -ss ' || {plain_number('start_seconds')} || ' -to ' || {plain_number('end_seconds')} || ' -i /in/' || job_id || '.mp4' as span from chunk_rows)
+      select job_id, chunk_index, 'ffmpeg ' || span || ' -vn -acodec pcm_s16le -ar 16000 -ac 1 ' || folder || '/audio.wav' as audio,
+        'ffmpeg ' || span || ' -vf fps=2 -q:v 2 ' || folder || '/frame_%06d.jpg' as frames from n""",
+    "probe_answers": "select timeline_id, duration_seconds as seconds from timelines",
     "job_results": """with j as (select distinct id, status, error from jobs)
       select j.id as job_id, j.status, t.timeline_id, case when j.status = 'failed' then coalesce(j.error, 'unknown error')
         when j.status <> 'completed' then 'job not completed' when t.timeline_id is null then 'result missing' end as problem

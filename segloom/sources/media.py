@@ -66,6 +66,23 @@ def probe_command(media: Media, video: str) -> list[str]:
     return [media.probe_path, "-v", "quiet", "-print_format", "json", "-show_format", video]
 
 
+def extract_commands(chunks: DataFrame, media: Media, vision: Vision) -> DataFrame:
+    """The two command lines that :func:`extract_artifacts` runs for each chunk, in a folder named by chunk."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                where = os.path.join(r.job_dir, f"chunk_{r.chunk_index:03d}")
+                audio = audio_command(media, r.path, r.start_seconds, r.end_seconds, os.path.join(where, "audio.wav"))
+                seen = frames_command(media, vision, r.path, r.start_seconds, r.end_seconds, where)
+                rows.append((r.job_id, r.chunk_index, " ".join(audio), " ".join(seen)))
+            yield pd.DataFrame(rows, columns=["job_id", "chunk_index", "audio", "frames"])
+
+    given = chunks.select("job_id", "job_dir", "path", F.col("chunk_index").cast("bigint").alias("chunk_index"), "start_seconds", "end_seconds")
+    return given.mapInPandas(lines, "job_id string, chunk_index bigint, audio string, frames string")
+
+
 def run_tool(command: list[str], timeout: float | None = None) -> str:
     """Standard output of a tool; a failure raises with its last lines."""
     try:

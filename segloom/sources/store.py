@@ -63,23 +63,31 @@ def read_checkpoint(root: str | Path, job: str, chunk_index: int) -> list[dict]
     return body["segments"] if body.get("version") == CHECKPOINT_VERSION else None
 
 
-def checkpoints(spark: SparkSession, root: str | Path, job: str) -> DataFrame:
-    """A job's checkpoints: chunk_index, segments.
+def checkpoint_bodies(df: DataFrame, body: str = "value") -> DataFrame:
+    """Bodies of checkpoints taken apart: chunk_index and segments beside the other columns; other versions are passed
+    over, a malformed body fails the query."""
+    parsed = F.from_json(F.col(body), CHECKPOINT_SCHEMA, {"mode": "FAILFAST"})
+    kept = [c for c in df.columns if c != body]
+    return df.select(*kept, parsed.alias("__c")).where(F.col("__c.version") == CHECKPOINT_VERSION).select(*kept, "__c.chunk_index", "__c.segments")
+
+
+def segment_rows(df: DataFrame) -> DataFrame:
+    """One row for each of ``segments``: the other columns, ord, type, start, end, content."""
+    kept = [c for c in df.columns if c != "segments"]
+    return df.select(*kept, F.posexplode("segments").alias("ord", "s")).select(*kept, "ord", "s.*")
 
-    No folder means none; drafts are not read; other versions are passed over; a malformed file fails the load.
-    """
+
+def checkpoints(spark: SparkSession, root: str | Path, job: str) -> DataFrame:
+    """A job's checkpoints: chunk_index, segments. No folder means none; drafts are not read."""
     where = checkpoint_dir(root, job)
     if not where.is_dir() or not any(where.glob("*.json")):
-        read = spark.createDataFrame([], CHECKPOINT_SCHEMA)
-    else:
-        read = spark.read.schema(CHECKPOINT_SCHEMA).json(str(where), pathGlobFilter="*.json", multiLine=True, mode="FAILFAST")
-    return read.where(F.col("version") == CHECKPOINT_VERSION).drop("version")
+        return checkpoint_bodies(spark.createDataFrame([], "value string"))
+    return checkpoint_bodies(spark.read.text(str(where), wholetext=True, pathGlobFilter="*.json"))
 
 
 def load_checkpoints(spark: SparkSession, root: str | Path, job: str) -> DataFrame:
     """Rows of a job's checkpoints: chunk_index, ord, type, start, end, content."""
-    found = checkpoints(spark, root, job)
-    return found.select("chunk_index", F.posexplode("segments").alias("ord", "s")).select("chunk_index", "ord", "s.*")
+    return segment_rows(checkpoints(spark, root, job))
 
 
 def clear_checkpoints(root: str | Path, job: str) -> None:

@@ -314,7 +314,9 @@ def test_formatting():
     short = long_timeline() | {"segments": long_timeline()["segments"][:2]}
     assert formatting.format_timeline(short, f, "SYS") == "head 1\n## Scene" and calls[0][1]["messages"][0]["content"] == "SYS"
     calls.clear()
-    text = formatting.format_timeline(long_timeline(), f, "SYS")
+    told = []
+    text = formatting.format_timeline(long_timeline(), f, "SYS", say=told.append)
+    assert [t.split(",")[0] for t in told] == ["section 1/3", "section 2/3", "section 3/3"]
     assert len(calls) == 3 and text.count("## Scene") == 3
     assert calls[1][1]["messages"][0]["content"].startswith("You are continuing") and "head 1\n\n\nNow" in calls[1][1]["messages"][0]["content"]
     assert sum(len(json.loads(c[1]["messages"][1]["content"])["segments"]) for c in calls) == 60

@@ -43,3 +43,16 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_listing_is_newest_first(spark):
+    """The order itself, which a comparison of rows cannot see; entries without a time come last."""
+    from pyspark.sql import functions as F
+
+    from segloom.runtime import load
+
+    dates = [r.date for r in registry.queries()["cache_list"](spark, DATA).collect()]
+    given = [r.date for r in load(spark, DATA, "cache_meta").select(F.substring("processed_at", 1, 10).alias("date")).collect()]
+    known = [d for d in dates if d is not None]
+    assert known == sorted(known, reverse=True) and dates == known + [None] * (len(dates) - len(known))
+    assert sorted(known) == sorted(d for d in given if d is not None)
