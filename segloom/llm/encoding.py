@@ -73,18 +73,16 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunk_ends(text: str, block: int = 1 << 15) -> list[int]:
-    """Content-defined chunk ends: where the rolling hash over WINDOW characters falls below a level.
+def cut_marks(texts: list[str], block: int = 1 << 15) -> np.ndarray:
+    """Places behind which a chunk may end, in the texts put one behind another: where the rolling hash falls below a level.
 
-    Long texts are hashed in blocks small enough for a core's cache.
+    Hashed in blocks small enough for a core's cache. The hash at a text's first WINDOW characters also sees the text
+    before; no chunk ends there, since none is shorter than MIN_CHUNK.
     """
-    n = len(text)
-    if n <= MIN_CHUNK:
-        return [n] if n else []
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     level = np.uint32((1 << 32) // MEAN_CHUNK)
-    marks = []
-    for at in range(0, n, block):
+    marks = [np.zeros(0, np.int64)]
+    for at in range(0, len(codes), block):
         low = max(0, at - WINDOW)
         rolling, step, power = _mixed(codes[low : at + block]), 1, 0x01000193
         while step < WINDOW:  # the hash of 2 x step characters from two of step
@@ -93,9 +91,14 @@ def chunk_ends(text: str, block: int = 1 << 15) -> list[int]:
             rolling, step, power = wider, 2 * step, power * power & 0xFFFFFFFF
         hit = np.flatnonzero(_mixed(rolling) < level) + low
         marks.append(hit[hit >= at])
+    return np.concatenate(marks)
+
+
+def ends_from(marks: list[int], n: int) -> list[int]:
+    """Chunk ends of a text of ``n`` characters from its marks, within the bounds on a chunk's length."""
     out: list[int] = []
     start = 0
-    for mark in np.concatenate(marks).tolist():
+    for mark in marks:
         end = mark + 1
         while end - start > MAX_CHUNK:
             start += MAX_CHUNK
@@ -106,10 +109,24 @@ def chunk_ends(text: str, block: int = 1 << 15) -> list[int]:
     while n - start > MAX_CHUNK:
         start += MAX_CHUNK
         out.append(start)
-    out.append(n)
+    if n:
+        out.append(n)
     return out
 
 
+def chunk_ends(text: str) -> list[int]:
+    """Content-defined chunk ends of one text."""
+    return ends_from(cut_marks([text]).tolist(), len(text))
+
+
+def all_chunk_ends(texts: list[str]) -> list[list[int]]:
+    """Content-defined chunk ends of each text, hashed together."""
+    begins = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    marks = cut_marks(texts)
+    at = np.searchsorted(marks, begins)
+    return [ends_from((marks[at[i] : at[i + 1]] - begins[i]).tolist(), len(t)) for i, t in enumerate(texts)]
+
+
 def _key(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
@@ -138,13 +155,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out: list[tuple] = []
+        new: list[tuple[bytes, str]] = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             mark = _key(text)
             out.append((doc, mark, -1, None, None, None))
-            if not first(b"t" + mark):
-                continue
+            if first(b"t" + mark):
+                new.append((mark, text))
+        for (mark, text), ends in zip(new, all_chunk_ends([t for _, t in new]), strict=True):
             start = 0
-            for pos, end in enumerate(chunk_ends(text)):
+            for pos, end in enumerate(ends):
                 part = text[start:end]
                 key = _key(part)
                 out.append((None, mark, pos, key, place, part if first(b"c" + key) else None))
@@ -246,7 +265,7 @@ def _join(directory: str, name: str, sizes: bool):
                 offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
                 ids = pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32))
                 made = pa.ListArray.from_arrays(pa.array(offsets), ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), batch.column("copies"), made], names=["doc", "doc_id", "copies", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), made], names=["doc", "doc_id", "value"])
 
     return join
 
@@ -267,15 +286,21 @@ def _valued(df: DataFrame, directory: str, name: str, sizes: bool) -> DataFrame:
     shared = broadcast_if_small(others.select("chunk").distinct(), BROADCAST_CHUNKS)
     piece = ["head", "body", "size", "tail"]
     taken = others.join(encoded.join(shared, "chunk", "left_semi").select("chunk", *piece), "chunk").select("doc", "pos", *piece)
-    parts = encoded.select("doc", "pos", *piece).unionByName(taken).groupBy("doc").agg(F.collect_list(F.struct("pos", *piece)).alias("parts"))
-    # A text is assembled once, for the first of its documents; copies take the result, however many they are.
+    pieces = encoded.select("doc", "pos", *piece).unionByName(taken)
     docs = found.where("pos = -1").select("doc_id", "doc")
-    first = docs.groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    first = cut(docs.groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
     kind = "bigint" if sizes else "array<int>"
-    whole = cut(first.join(parts, "doc").select("doc", "doc_id", "copies", "parts").mapInArrow(_join(directory, name, sizes), f"doc binary, doc_id bigint, copies bigint, value {kind}"))
-    copied = whole.where("copies > 1").select("doc", F.col("doc_id").alias("first"), "value")
-    copies = docs.distinct().join(copied, "doc").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return whole.select("doc_id", "value").unionByName(copies.select("doc_id", "value"))
+
+    def assembled(texts: DataFrame, pieces: DataFrame) -> DataFrame:
+        parts = pieces.groupBy("doc").agg(F.collect_list(F.struct("pos", *piece)).alias("parts"))
+        return texts.join(parts, "doc").select("doc", "doc_id", "parts").mapInArrow(_join(directory, name, sizes), f"doc binary, doc_id bigint, value {kind}")
+
+    # A text is assembled for the first of its documents; copies, however many, take what is assembled once for all of them.
+    copied = first.where("copies > 1").select("doc", "doc_id")
+    marks = broadcast_if_small(copied.select("doc"), BROADCAST_CHUNKS)
+    values = cut(assembled(copied, pieces.join(marks, "doc", "left_semi"))).withColumnRenamed("doc_id", "first")
+    copies = docs.join(marks, "doc", "left_semi").distinct().join(values, "doc").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return assembled(first, pieces).select("doc_id", "value").unionByName(copies.select("doc_id", "value"))
 
 
 def encode_documents(df: DataFrame, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:

@@ -120,6 +120,14 @@ def sequences(table: dict[str, str]) -> dict[str, str]:
     return out
 
 
+class _Singles(dict):
+    """Outputs of single characters by code; a character without a rule is learnt as its own, so it is missed but once."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
 class Transducer:
     """A longest-match transducer over grapheme clusters, compiled into a trie of the mapping's sources.
 
@@ -141,7 +149,7 @@ class Transducer:
         for code in range(0x80, 0x30000):
             if code not in HANGUL and (given := unicodedata.decomposition(chr(code))) and not given.startswith("<"):
                 single[code] = self.match(chr(code))
-        self.single = {code: target for code, target in single.items() if target != chr(code)}
+        self.single = _Singles((code, target) for code, target in single.items() if target != chr(code))
 
     def match(self, cluster: str) -> str:
         """Output of one cluster: at each place the longest source that fits, else the character itself."""

@@ -41,6 +41,8 @@ def test_chunks_are_content_defined():
     shared = {e for e in a} & {e - 15 for e in b}
     assert len(shared) >= len(a) - 2 and a[-1] == len(body)
     assert encoding.chunk_ends("") == [] and encoding.chunk_ends("a") == [1]
+    texts = ["".join(rnd.choice("abcde é字") for _ in range(rnd.choice([0, 1, 40, 63, 64, 65, 900, 40_000]))) for _ in range(40)]
+    assert encoding.all_chunk_ends(texts) == [encoding.chunk_ends(t) for t in texts] and encoding.all_chunk_ends([]) == []
     assert max(np.diff([0, *encoding.chunk_ends("a" * 50_000)])) <= encoding.MAX_CHUNK
 
 
