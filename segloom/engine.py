@@ -261,6 +261,12 @@ class Engine:
             ),
         )
 
+    def upload_name(self, filename: str) -> str:
+        """The plain name of an uploaded recording, refused if it is none."""
+        if not filename.endswith(".mp4"):
+            raise ApiError(400, "uploaded file must be an mp4 file")
+        return os.path.basename(filename)
+
     def upload_path(self) -> Path:
         """A fresh place for an uploaded recording."""
         where = Path(self.root) / f"upload-{uuid.uuid4()}"
@@ -269,9 +275,7 @@ class Engine:
 
     def upload(self, filename: str, path: str | Path, force: bool = False, profile: str | None = None) -> Job:
         """A job over a recording that was uploaded to ``path`` under the name ``filename``."""
-        if not filename.endswith(".mp4"):
-            raise ApiError(400, "uploaded file must be an mp4 file")
-        return self.submit(str(path), force, profile, name=os.path.basename(filename))
+        return self.submit(str(path), force, profile, name=self.upload_name(filename))
 
     def submit_url(self, url: str, force: bool = False, profile: str | None = None, max_resolution: str | None = None, max_fps: int | None = None) -> Job:
         if not url:

@@ -8,6 +8,7 @@ open fragments, whose number is bounded by the number of ranges, and an ordinary
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,34 +43,43 @@ def slices(df: DataFrame, entity: Sequence[str], order: Sequence[str], sizes: Da
     """``df`` with its entities in order in the tasks, and the column ``__range``: -1, or the number of a range.
 
     ``entity`` and ``order`` must identify a row up to repeated deliveries; then repeats are neighbours in one range.
-    ``sizes`` holds the entity's columns for counting, where counting ``df`` itself would cost its evaluation; it need
-    not agree with ``df`` exactly. Entities above ``slice_rows`` (SLICE_ROWS if not given) are cut at quantiles of their whole order,
-    so that even rows of one instant spread. ``df`` is evaluated once, and once more without its other
-    columns if there are such entities. The bounds that are broadcast number at most twice MOST_RANGES.
+    ``order`` holds columns of integers or strings. ``sizes`` holds the entity's columns for counting, where counting ``df``
+    itself would cost its evaluation; it need not agree with ``df`` exactly. Entities above ``slice_rows`` (SLICE_ROWS
+    if not given) are cut at quantiles of their whole order, so that even rows of one instant spread. ``df`` is
+    evaluated once, and once more without its other columns if there are such entities. Their names and bounds,
+    at most twice MOST_RANGES, come to the driver; rows look them up in one constant and do not carry them.
     """
     slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
     counted = (df if sizes is None else sizes).groupBy(*entity).agg(F.count(F.lit(1)).alias("__n"))
     # Those left out by the limit are smaller than all of these, so none holds more than a 20,000th of all rows.
     large = counted.where(F.col("__n") > slice_rows).orderBy(F.desc("__n")).limit(MOST_RANGES).collect()
-    if not large:
-        placed = df.withColumn(RANGE, F.lit(-1))
-    else:
-        step = max(slice_rows, -(-sum(r["__n"] for r in large) // MOST_RANGES))
-        rows = [(*(r[c] for c in entity), -(-r["__n"] // step), min(1.0, SAMPLES * (-(-r["__n"] // step)) / r["__n"])) for r in large]
-        kinds = dict(df.dtypes)
-        few = df.sparkSession.createDataFrame(rows, ", ".join(f"{c} {kinds[c]}" for c in entity) + ", __ranges int, __rate double")
-        key = F.struct(*order)
-        drawn = null_safe_join(df.select(*entity, *order), F.broadcast(few), entity).where(
-            F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < F.col("__rate") * (1 << 30)
-        )
-        keys = drawn.groupBy(*entity).agg(F.array_sort(F.collect_set(key)).alias("__keys"), F.first("__ranges").alias("__ranges"))
-        at = lambda i: F.get("__keys", F.floor(i * F.size("__keys") / F.col("__ranges")).cast("int"))
-        bounds = F.when(F.col("__ranges") > 1, F.transform(F.sequence(F.lit(1), F.col("__ranges") - 1), at))
-        placed = null_safe_join(df, F.broadcast(keys.select(*entity, bounds.alias("__bounds"))), entity, "left")
-        placed = placed.withColumn(RANGE, F.when(F.col("__bounds").isNull(), F.lit(-1)).otherwise(_below(F.col("__bounds"), key))).drop("__bounds")
+    placed = df.withColumn(RANGE, F.lit(-1)) if not large else _placed(df, entity, order, large, slice_rows)
     return placed.repartition(*entity, RANGE).sortWithinPartitions(*entity, *order)
 
 
+def _placed(df: DataFrame, entity: Sequence[str], order: Sequence[str], large: list, slice_rows: int) -> DataFrame:
+    """``df`` with the range of each row of the entities in ``large``, -1 for all others."""
+    step = max(slice_rows, -(-sum(r["__n"] for r in large) // MOST_RANGES))
+    kinds = dict(df.dtypes)
+    named = ", ".join(f"{c} {kinds[c]}" for c in entity)
+    rows = []
+    for i, r in enumerate(large):
+        ranges = -(-r["__n"] // step)
+        rows.append((*(r[c] for c in entity), i, ranges, min(1.0, SAMPLES * ranges / r["__n"])))
+    few = F.broadcast(df.sparkSession.createDataFrame(rows, f"{named}, __no int, __ranges int, __rate double"))
+    key = F.struct(*order)
+    drawn = null_safe_join(df.select(*entity, *order), few, entity).where(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < F.col("__rate") * (1 << 30))
+    keys = drawn.groupBy("__no").agg(F.array_sort(F.collect_set(key)).alias("__keys"), F.first("__ranges").alias("__ranges"))
+    at = lambda i: F.get("__keys", F.floor(i * F.size("__keys") / F.col("__ranges")).cast("int"))
+    bounds = F.when(F.col("__ranges") > 1, F.transform(F.sequence(F.lit(1), F.col("__ranges") - 1), at))
+    found = {r["__no"]: [b.asDict() for b in r["bounds"] or [] if b is not None] for r in keys.select("__no", bounds.alias("bounds")).collect()}
+    listed = json.dumps([found.get(i, []) for i in range(len(large))])
+    constant = F.from_json(F.lit(listed), f"array<array<struct<{', '.join(f'{c}: {kinds[c]}' for c in order)}>>>")
+    joined = null_safe_join(df, few.select(*entity, "__no"), entity, "left")
+    place = F.when(F.col("__no").isNull(), F.lit(-1)).otherwise(_below(F.get(constant, F.col("__no")), key))
+    return joined.withColumn(RANGE, place).drop("__no")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join in which a null key meets a null key; keeps the left keys."""
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})

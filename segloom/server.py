@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import time
 import urllib.error
 import urllib.request
@@ -31,6 +32,16 @@ JSON_BYTES = 1 << 20
 BLOCK = 1 << 16
 
 
+def short(pieces: Iterator[bytes]) -> bytes:
+    """All of a field that must not be long."""
+    out = b""
+    for piece in pieces:
+        out += piece
+        if len(out) > FIELD_BYTES:
+            raise ApiError(400, "malformed form: a field is too long")
+    return out
+
+
 class Form:
     """A multipart form read from a stream block by block; what it holds of the stream is bounded."""
 
@@ -59,14 +70,6 @@ class Form:
         yield self.held[:at]
         self.held = self.held[at + len(mark) :]
 
-    def _short(self, mark: bytes) -> bytes:
-        out = b""
-        for piece in self._until(mark):
-            out += piece
-            if len(out) > FIELD_BYTES:
-                raise ApiError(400, "malformed form: a field is too long")
-        return out
-
     def fields(self) -> Iterator[tuple[str, str | None, Iterator[bytes]]]:
         """Name, file name and content of each field in order; a content must be read before the next field."""
         for _ in self._until(self.mark):
@@ -78,7 +81,7 @@ class Form:
                 while self.left and self._more():
                     self.held = b""  # the rest after the closing mark
                 return
-            head = self._short(b"\r\n\r\n")
+            head = short(self._until(b"\r\n\r\n"))
             name = re.search(rb'[; ]name="([^"]*)"', head)
             file = re.search(rb'filename="([^"]*)"', head)
             yield (name[1].decode(errors="replace") if name else ""), (file[1].decode(errors="replace") if file else None), self._until(self.mark)
@@ -141,25 +144,25 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
 
             def upload() -> dict:
                 form = Form(self.rfile, self._size(limit), self.headers.get("Content-Type") or "")
+                self.close_connection = True  # a form given up half way leaves bytes in the stream
                 text: dict[str, str] = {}
                 name, path = None, None
-                self.close_connection = True  # a form given up half way leaves bytes in the stream
-                for field, file, content in form.fields():
-                    if field == "file" and file and path is None:
-                        name, path = file, engine.upload_path()
-                        with open(path, "wb") as out:
-                            for piece in content:
-                                out.write(piece)
-                    else:
-                        data = b""
-                        for piece in content:
-                            data += piece
-                            if len(data) > FIELD_BYTES:
-                                raise ApiError(400, "malformed form: a field is too long")
-                        text[field] = data.decode(errors="replace")
-                if path is None:
-                    raise ApiError(400, "missing file field")
-                return engine.upload(name, path, text.get("force") == "true", text.get("profile")).response()
+                try:
+                    for field, file, content in form.fields():
+                        if field == "file" and file and path is None:
+                            name, path = engine.upload_name(file), engine.upload_path()
+                            with open(path, "wb") as out:
+                                for piece in content:
+                                    out.write(piece)
+                        else:
+                            text[field] = short(content).decode(errors="replace")
+                    if path is None:
+                        raise ApiError(400, "missing file field")
+                    return engine.upload(name, path, text.get("force") == "true", text.get("profile")).response()
+                except BaseException:
+                    if path is not None:  # nobody will come for it
+                        shutil.rmtree(path.parent, ignore_errors=True)
+                    raise
 
             self._route([("/jobs", create), ("/jobs/url", create_url), ("/jobs/upload", upload)], status=201)
 

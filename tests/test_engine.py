@@ -417,6 +417,13 @@ def test_http(spark, config, video, served):
         assert err.value.status == status
     with pytest.raises(ClientError):
         Client("http://127.0.0.1:9").health()
+    root, kept = config.processing.temp_dir, [d for d in os.listdir(config.processing.temp_dir) if d.startswith("upload-")]
+    refused = os.path.join(os.path.dirname(video), "clip.avi")
+    os.link(video, refused)
+    for path, profile in ((refused, None), (video, "no-such-profile")):
+        with pytest.raises(ApiError) as err:
+            c.upload(path, profile=profile)
+        assert err.value.status == 400 and [d for d in os.listdir(root) if d.startswith("upload-")] == kept
     import urllib.request
 
     body = json.dumps({"source": video}).encode()
