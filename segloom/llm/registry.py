@@ -49,8 +49,7 @@ def p4_events(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Oversized timelines and contents with the coarsest boundary that suffices."""
-    pieces = splitting.split_timelines(load(spark, d, "timelines"), texts=False)
-    return pieces.where("piece = 0").select("timeline_id", "seg_pos", "boundary")
+    return splitting.split_timelines(load(spark, d, "timelines"), cuts=False).select("timeline_id", "seg_pos", "boundary")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

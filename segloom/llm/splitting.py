@@ -84,38 +84,41 @@ def cut_points(strengths: np.ndarray, costs: np.ndarray, limit: int, overlap: in
         end, start = at, max(at - overlap, start + 1 if at - overlap > start else at)
 
 
-def text_strengths(text: str) -> np.ndarray:
+def spaces(text: str) -> np.ndarray:
+    """Start and end of each stretch of white space."""
+    return np.array([m.span() for m in SPACE.finditer(text)], np.int64).reshape(-1, 2)
+
+
+def text_strengths(text: str, found: np.ndarray | None = None) -> np.ndarray:
     """Strength of a cut before each code point, and before the end of the text."""
+    found = spaces(text) if found is None else found
     s = np.zeros(len(text) + 1, np.int8)
-    for m in SPACE.finditer(text):
-        s[m.end()] = WORD
-    for m in SENTENCE_END.finditer(text):
-        s[m.end()] = SENTENCE
-    for m in BLANK_LINE.finditer(text):
-        s[m.end()] = PARAGRAPH
+    s[found[:, 1]] = WORD
+    s[[m.end() for m in SENTENCE_END.finditer(text)]] = SENTENCE
+    s[[m.end() for m in BLANK_LINE.finditer(text)]] = PARAGRAPH
     return s
 
 
-def blanks(text: str, strengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def blanks(text: str, strengths: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and strongest cut of each stretch of white space that parts two pieces of text."""
-    strengths = text_strengths(text) if strengths is None else strengths
-    found = [m.span() for m in SPACE.finditer(text) if m.start() > 0 and m.end() < len(text)]
-    if not found:
+    found = found[(found[:, 0] > 0) & (found[:, 1] < len(text))]
+    if not len(found):
         return (np.zeros(0, np.int64),) * 3
-    start, end = np.array(found, np.int64).T
     # A blank line may end before the stretch does; the strongest cut inside the stretch counts.
-    best = np.maximum.reduceat(strengths, np.stack((start + 1, end + 1), 1).ravel())[::2]
-    return start, end, best.astype(np.int64)
+    best = np.maximum.reduceat(strengths, (found + 1).ravel())[::2]
+    return found[:, 0], found[:, 1], best.astype(np.int64)
 
 
-def coarsest_boundary(text: str, limit: int, strengths: np.ndarray | None = None, block: int = 1 << 15) -> int:
+def coarsest_boundary(text: str, limit: int, strengths: np.ndarray | None = None, found: np.ndarray | None = None, block: int = 1 << 15) -> int:
     """The strongest class of which every gap between cuts of that class or stronger is at most ``limit`` code points.
 
     Asked of the range-maximum table: from each cut of a class, or the text's begin, is there a cut as strong within
     the limit, or else the text's end? White space around a unit does not count. The table is built over
     blocks of cuts, so it stays small for a text of any length.
     """
-    start, end, strength = blanks(text, strengths)
+    found = spaces(text) if found is None else found
+    strengths = text_strengths(text, found) if strengths is None else strengths
+    start, end, strength = blanks(text, strengths, found)
     low, high = len(text) - len(text.lstrip()), len(text.rstrip())
     begins = np.concatenate(([low], end))
     rated = np.concatenate(([PARAGRAPH], strength))
@@ -124,7 +127,7 @@ def coarsest_boundary(text: str, limit: int, strengths: np.ndarray | None = None
         some = np.arange(at, min(at + block, len(begins)))
         last = np.searchsorted(start, begins[some] + limit, side="right") - 1
         if last.max() >= some[0]:
-            table = RangeMax(strength[some[0] : last.max() + 1], len(strength))
+            table = RangeMax(strength[some[0] : last.max() + 1], int((last - some).max()) + 1)
             reach[some] = table.strengths(some - some[0], last - some[0])
     reach[high - begins <= limit] = PARAGRAPH
     for kind in (PARAGRAPH, SENTENCE, WORD):
@@ -133,14 +136,14 @@ def coarsest_boundary(text: str, limit: int, strengths: np.ndarray | None = None
     return NONE
 
 
-def split_text(text: str, limit: int = CONTENT_LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+def split_text(text: str, limit: int = CONTENT_LIMIT, overlap: int = OVERLAP, strengths: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Pieces (start, end, strength) of a text; consecutive pieces share exactly ``overlap`` code points.
 
     Long texts are cut in blocks of many limits, so the table stays small for a text of any length.
     """
     if len(text) <= limit:
         return [(0, len(text), PARAGRAPH)]
-    strengths = text_strengths(text)
+    strengths = text_strengths(text) if strengths is None else strengths
     out: list[tuple[int, int, int]] = []
     block, at = 64 * limit, 0
     while True:
@@ -182,7 +185,7 @@ def segment_strengths(segments: list[dict]) -> np.ndarray:
     return s
 
 
-def _split(timeline_limit: int, content_limit: int, overlap: int, segment_overlap: int, texts: bool):
+def _split(timeline_limit: int, content_limit: int, overlap: int, segment_overlap: int, cuts: bool):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tid, segments in zip(batch.column("timeline_id").to_pylist(), batch.column("segments").to_pylist(), strict=True):
@@ -190,14 +193,19 @@ def _split(timeline_limit: int, content_limit: int, overlap: int, segment_overla
                 segments = segments or []
                 sizes = [len((s or {}).get("content") or "") for s in segments]
                 if sum(sizes) > timeline_limit:
-                    pieces = cut_points(segment_strengths(segments), np.array(sizes, np.int64), timeline_limit, segment_overlap)
-                    out += [(tid, -1, "segment", k, a, b, "segment", None) for k, (a, b, _) in enumerate(pieces)]
+                    pieces = cut_points(segment_strengths(segments), np.array(sizes, np.int64), timeline_limit, segment_overlap) if cuts else [(None,) * 3]
+                    out += [(tid, -1, "segment", k, a, b, "segment" if cuts else None, None) for k, (a, b, _) in enumerate(pieces)]
                 for pos, s in enumerate(segments):
                     if sizes[pos] > content_limit:
                         text = s["content"]
-                        name = NAMES[coarsest_boundary(text, content_limit)]
-                        for k, (a, b, strength) in enumerate(split_text(text, content_limit, overlap)):
-                            out.append((tid, pos, name, k, a, b, NAMES[strength], text[a:b] if texts else None))
+                        found = spaces(text)
+                        strengths = text_strengths(text, found)
+                        name = NAMES[coarsest_boundary(text, content_limit, strengths, found)]
+                        if not cuts:
+                            out.append((tid, pos, name, 0, None, None, None, None))
+                            continue
+                        for k, (a, b, strength) in enumerate(split_text(text, content_limit, overlap, strengths)):
+                            out.append((tid, pos, name, k, a, b, NAMES[strength], text[a:b]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PIECE.types, strict=True)], schema=PIECE)
 
@@ -210,13 +218,13 @@ def split_timelines(
     content_limit: int = CONTENT_LIMIT,
     overlap: int = OVERLAP,
     segment_overlap: int = 1,
-    texts: bool = True,
+    cuts: bool = True,
 ) -> DataFrame:
     """Pieces of each oversized timeline (seg_pos -1, counted in segments) and content (in code points).
 
     Needs timeline_id and segments; other columns are ignored. Items within their limit, null and empty
     arrays and null contents give no row; null contents count as empty; repeated rows give repeated
-    pieces; a content longer than the timeline's limit is a piece of its own there and is cut as a content. Each
+    pieces. Without ``cuts`` each item has one row with its boundary and no pieces are made. A content longer than the timeline's limit is a piece of its own there and is cut as a content. Each
     timeline is cut by itself, so the operator needs no shuffle.
     """
-    return df.select("timeline_id", "segments").mapInArrow(_split(timeline_limit, content_limit, overlap, segment_overlap, texts), PIECE_DDL)
+    return df.select("timeline_id", "segments").mapInArrow(_split(timeline_limit, content_limit, overlap, segment_overlap, cuts), PIECE_DDL)
