@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import os
 import subprocess
 import wave
@@ -11,7 +10,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

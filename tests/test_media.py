@@ -3,7 +3,6 @@ import json
 import wave
 
 import pytest
-from pyspark.sql import functions as F
 
 from segloom.config import Downloader, Media, Vision
 from segloom.errors import DownloadError, MediaError
